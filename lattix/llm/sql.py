@@ -18,4 +18,23 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1}
+_NGRAMS = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
+OP9 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest({list(_NGRAMS)}) AS n) WHERE len(w) >= n)),
+r AS (SELECT doc_id, n, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, s) > 1),
+k AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM r),
+c AS (SELECT doc_id, n, count(*) AS words, CAST(sum(len(w[j])) AS BIGINT) AS chars FROM k JOIN d USING (doc_id) GROUP BY ALL),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_BLANK}')),
+z AS (SELECT doc_id, count(*) AS n_dup_lines, CAST(sum(len(array_to_string(regexp_extract_all(line, '{_BLANK}'), ''))) AS BIGINT) AS dup_line_chars FROM l WHERE nth > 1 GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars,
+      coalesce((SELECT words FROM c WHERE c.doc_id = d.doc_id AND n = 8), 0) AS n_repeat_words,
+      {", ".join(f"coalesce((SELECT chars FROM c WHERE c.doc_id = d.doc_id AND n = {n}), 0) AS dup_{n}gram_chars" for n in _NGRAMS)}
+      FROM d LEFT JOIN z USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 100 * n_symbols <= 10 * n_words AND 100 * dup_line_chars <= 30 * word_chars AND {" AND ".join(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in _NGRAMS.items())} AS kept FROM b
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op9_quality_rules": OP9}
