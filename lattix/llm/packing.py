@@ -231,6 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
     before = np.cumsum(grid, axis=1) - grid
     shared = spark.sparkContext.broadcast((before, places(pack_counts(grid.sum(axis=1)), capacity)))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(doc_id, "piece", "ids_crc32")).cast("long"))
+    names = cut.columns
     schema = plus(cut.schema, ("sequence_id", T.LongType()), ("offset", T.LongType()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +240,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
             length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_salt", "_rank"))
             own = (length << 50) + before[length, salt] + rank - 1
             run = np.searchsorted(key, own, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in cut.columns), pa.array(seq[run] + own - key[run]), pa.array(offset[run])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(seq[run] + own - key[run]), pa.array(offset[run])], names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, schema)
