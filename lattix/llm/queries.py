@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, repetition, sql
+from . import decontaminate, licenses, packing, quality, repetition, sql, toxicity
 from .shared import table
 
 
@@ -15,6 +15,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def tokenizer_path() -> str:
     """Place of the public vocabulary; the same on driver and executors."""
     import public_tokenizers
@@ -34,5 +42,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op4_packing, op8_license_scan, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op10_toxicity, op4_packing, op8_license_scan, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in sql.ORACLE_SQL.items() if k in QUERIES}
