@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, packing, quality, repetition, sql, toxicity
+from . import decontaminate, language_model, licenses, packing, pii, quality, repetition, sql, toxicity
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op10_toxicity, op4_packing, op7_language_model, op8_license_scan, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op10_toxicity, op4_packing, op6_pii, op7_language_model, op8_license_scan, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in sql.ORACLE_SQL.items() if k in QUERIES}
