@@ -37,4 +37,15 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND 100 * n_symbols <= 10 * n_words AND 100 * dup_line_chars <= 30 * word_chars AND {" AND ".join(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in _NGRAMS.items())} AS kept FROM b
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op9_quality_rules": OP9}
+OP2 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+k AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM k GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(x, ' ' ORDER BY j) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j) WHERE NOT list_contains(js, j)), '') END) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op9_quality_rules": OP9}
