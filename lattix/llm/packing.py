@@ -16,6 +16,7 @@ pieces of the capacity; the last may be shorter. Repeated rows are packed each.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +27,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import plus, stored
-from .words import pieces, texts_of
+from .words import LOWER, pieces
 
 CAPACITY = 2048
 SALTS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 END_ID = 0
 
 
+#: After a letter this tokenizer always divides before these.
+_TAIL = b".,;:!?|)"
+_LETTER_END = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
+
+
+class _Places(dict):
+    """Numbers of words in the order in which they are first asked for; ``fresh`` are those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.fresh.append(word)
+        return k
+
+
 class WordTokenizer:
-    """Ids of texts from those of their blank-separated words, which this tokenizer never joins; distinct words are encoded once."""
+    """Ids of texts from those of their blank-separated words, which this tokenizer never joins; distinct words are encoded once.
+
+    It lower-cases, so ASCII is lower-cased before; a text with the start of a special token's name is left as it is.
+    """
 
     _open: dict[str, WordTokenizer] = {}
 
@@ -53,36 +75,48 @@ class WordTokenizer:
         return cls._open[path]
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {b" ": 0}  # a blank stands for the end of a text
-        self.size, self.begin, self.ids = np.array([1]), np.array([0]), np.array([END_ID], dtype="<u4")
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.place) + len(words) > CACHE_WORDS:
-            self.clear()
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.place.update(zip(some, range(len(self.size), len(self.size) + len(some))))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype="<u4")])
+        self.place = _Places()
+        self.place[b" "] = 0  # a blank stands for the end of a text
+        self.size, self.begin, self.ids = np.array([1], dtype=np.int32), np.array([0], dtype=np.int32), np.array([END_ID], dtype="<u4")
+
+    def learn(self) -> None:
+        """Encode the fresh words; a word with a tail of punctuation has the ids of both parts."""
+        place, known = self.place, len(self.size)
+        words, place.fresh = place.fresh, []
+        parts = []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            parts.append((core, w[len(core) :]) if len(core) < len(w) and _LETTER_END.search(core) else (w,))
+        plain = list(dict.fromkeys(x for p in parts for x in p if place.get(x, known) >= known))
+        own = dict(zip(plain, (x.ids for x in self.tokenizer.encode_batch([x.decode() for x in plain], add_special_tokens=False))))
+        for x in {x for p in parts for x in p}.difference(own):
+            own[x] = self.ids[self.begin[place[x]] :][: self.size[place[x]]].tolist()
+        for x in plain:
+            if x not in place:
+                place[x] = len(place)
+                words.append(x)
+                parts.append((x,))
+        ids = [own[p[0]] if len(p) == 1 else own[p[0]] + own[p[1]] for p in parts]
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        self.begin = np.concatenate([self.begin, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype="<u4")])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and where each text's begin (one more at the end)."""
-        split = [t.split() for t in texts]
-        distinct = set().union(*split)
-        fresh = [x for x in distinct if x not in self.place]
-        if fresh:
-            if len(self.place) + len(fresh) > CACHE_WORDS:
-                self.clear()
-                fresh = list(distinct)
-            self.learn(fresh)
-        words = np.fromiter((self.place[x] for s in split for x in (*s, b" ")), dtype=np.int64)
+        if len(self.place) > CACHE_WORDS:
+            self.clear()
+        get, flat, last = self.place.__getitem__, [], []
+        for t in texts:
+            flat += map(get, (t if b"<|" in t else t.translate(LOWER)).split())
+            last.append(len(flat))
+            flat.append(0)
+        if self.place.fresh:
+            self.learn()
+        words = np.array(flat, dtype=np.int32)
         size = self.size[words]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.begin[words] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(s) + 1 for s in split]) - 1
         return ids, np.concatenate([[0], ends[last]])
 
 

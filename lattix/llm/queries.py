@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, packing, pii, quality, repetition, sql, substring_dedup, toxicity
+from . import decontaminate, language_model, licenses, near_dedup, packing, pii, quality, repetition, sql, substring_dedup, toxicity
 from .shared import table
 
 
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(near_dedup.near_components(table(spark, sf_dir, "documents")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_quality_classifier, op10_toxicity, op4_packing, op6_pii, op7_language_model, op8_license_scan, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_quality_classifier, op10_toxicity, op4_packing, op5_near_dedup, op6_pii, op7_language_model, op8_license_scan, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in sql.ORACLE_SQL.items() if k in QUERIES}

@@ -48,4 +48,16 @@ sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT st
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op9_quality_rules": OP9}
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_BLANK}') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS x FROM d),
+n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(x)) AS v FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM n UNION SELECT r.root, u.b FROM r JOIN u ON u.a = r.node)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN (SELECT node, min(root) AS c FROM r GROUP BY 1) m ON m.node = n.doc_id
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op5_near_dedup": OP5, "op9_quality_rules": OP9}
