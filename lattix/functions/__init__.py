@@ -1,0 +1 @@
+"""Scalar functions over columns; all of them built-in expressions."""

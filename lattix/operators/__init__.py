@@ -1,0 +1 @@
+"""Relational building blocks of graph programs."""

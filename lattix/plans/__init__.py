@@ -1,0 +1 @@
+"""Graph programs: traversal, counting, influence, reasoning, features, sampling, training."""

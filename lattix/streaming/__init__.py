@@ -1,0 +1 @@
+"""Inputs are finite files read to their end; there is no unbounded source and no operator over one."""
