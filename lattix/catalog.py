@@ -268,7 +268,6 @@ def softmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gcn_train_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(split, total, correct) after training; the features alone tell most classes apart."""
     g = tables.catalogue(spark, sf_dir)
-    g = Graph(stored(g.vertices), stored(g.edges))
     made, masks = stored(features.two_hop_features(g.vertices, g.edges)), stored(features.split_masks(g.vertices))
     network, history = gcn.train(g.vertices, g.edges, made, masks, epochs=1)
     test = gcn.accuracy(network, g.vertices, g.edges, made, masks, "test")

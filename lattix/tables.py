@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, from_edges
-from .storage import table
+from .storage import stored, table
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
@@ -57,7 +57,7 @@ def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = out[0]
     for x in out[1:]:
         both = both.unionAll(x)
-    return both
+    return stored(both)  # a file, as records are; each use reads it once
 
 
 #: distance between the ids of vertex types in one id space.
@@ -73,7 +73,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Graph:
     vertices, edges = record_vertices(text), record_edges(text)
     known = vertices.select((F.col("id") * 8 + code_of(F.col("type"), SPACES)).alias("id"), "type")
     placed = edges.select((F.col("src") * 8 + code_of(F.col("src_type"), SPACES)).alias("src"), (F.col("dst") * 8 + code_of(F.col("dst_type"), SPACES)).alias("dst"), "type")
-    return Graph(known, placed).checked(drop=True)
+    graph = Graph(stored(known), placed).checked(drop=True)
+    return Graph(graph.vertices, stored(graph.edges))
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
