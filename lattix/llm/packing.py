@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from .words import LOWER, pieces
 
 CAPACITY = 2048
 SALTS = 64
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
+KEEP_WORDS = 200_000  # the first seen, so mostly the frequent ones, when the cache is full
+ENCODE_WORDS = 4096
 END_ID = 0
 
 
@@ -79,6 +82,13 @@ class WordTokenizer:
         self.place[b" "] = 0  # a blank stands for the end of a text
         self.size, self.begin, self.ids = np.array([1], dtype=np.int32), np.array([0], dtype=np.int32), np.array([END_ID], dtype="<u4")
 
+    def shrink(self) -> None:
+        """Forget all but the words first seen."""
+        kept = _Places()
+        kept.update(islice(self.place.items(), KEEP_WORDS))
+        self.place, self.size, self.begin = kept, self.size[: len(kept)].copy(), self.begin[: len(kept)].copy()
+        self.ids = self.ids[: int(self.begin[-1] + self.size[-1])].copy()
+
     def learn(self) -> None:
         """Encode the fresh words; a word with a tail of punctuation has the ids of both parts."""
         place, known = self.place, len(self.size)
@@ -88,7 +98,10 @@ class WordTokenizer:
             core = w.rstrip(_TAIL)
             parts.append((core, w[len(core) :]) if len(core) < len(w) and _LETTER_END.search(core) else (w,))
         plain = list(dict.fromkeys(x for p in parts for x in p if place.get(x, known) >= known))
-        own = dict(zip(plain, (x.ids for x in self.tokenizer.encode_batch([x.decode() for x in plain], add_special_tokens=False))))
+        own: dict[bytes, list[int]] = {}
+        for k in range(0, len(plain), ENCODE_WORDS):  # an encoding is many times its ids
+            some = plain[k : k + ENCODE_WORDS]
+            own.update(zip(some, [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)]))
         for x in {x for p in parts for x in p}.difference(own):
             own[x] = self.ids[self.begin[place[x]] :][: self.size[place[x]]].tolist()
         for x in plain:
@@ -105,7 +118,7 @@ class WordTokenizer:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and where each text's begin (one more at the end)."""
         if len(self.place) > CACHE_WORDS:
-            self.clear()
+            self.shrink()
         get, flat, last = self.place.__getitem__, [], []
         for t in texts:
             flat += map(get, (t if b"<|" in t else t.translate(LOWER)).split())
