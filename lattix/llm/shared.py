@@ -2,40 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir, stored, table  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one is set."""
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lattix-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors, is deleted when Spark ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that stored() wrote and that no later plan reads, and let Spark remove the shuffle files of finished plans."""
+    spark = SparkSession.active()
+    for df in frames:
+        for f in df.inputFiles()[:1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if at.getName().startswith("lattix-"):
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

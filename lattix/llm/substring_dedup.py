@@ -9,8 +9,8 @@ What travels is packed once per scan batch and bucket: equal strings of one batc
 that copies weigh little, and the rest is compressed. A bucket is sized by ``BUCKET_BYTES`` of packed words. A minimiser
 never brings more to a bucket than the distinct strings of each scan batch.
 
-Texts are scanned twice: once for the windows, once to remove words, when the marked intervals of a document are joined to
-its row by (id, hash of the text).
+Texts are scanned twice: once for the windows, once to remove words, when the marked intervals of a document, kept in the
+shared folder, are joined to its row by (id, hash of the text).
 
 Defined cases. Null or empty text: no words, nothing removed. A text of fewer words than the window is kept whole. Rows of
 one document id are one document in which starts are compared; of repeated equal rows none is earlier, so all are treated
@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, plus, text_bytes
+from .shared import dropped, free_name, plus, stored, text_bytes
 from .words import BLANK_WORD, Words, covered, mix, pieces, window_hashes
 
 WINDOW = 20
 MINIMISER = 6
 MOST_WINDOWS = 64  # of one packed string
-BUCKET_BYTES = 12 << 20
-BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
+LEVEL = 6  # of compression
 
 
 def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -75,7 +76,7 @@ def _send(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     schema = "bucket int, strings binary, places binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             for part, texts in pieces(batch, "text", BATCH_BYTES):
                 w = Words(texts, BLANK_WORD, lower=False)
@@ -204,7 +205,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     fields = [(f"{prefix}{n}", t) for n, t in (("kept", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))]
     if clash := {c.lower() for c in docs.columns} & {n for n, _ in fields}:
         raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
-    spans = repeated_spans(docs, doc_id=doc_id, text=text, window=window)
+    spans = stored(repeated_spans(docs, doc_id=doc_id, text=text, window=window))
+    dropped()  # the packed strings are used up
     marked = spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     held = free_name(docs, "_spans")
     right = marked.select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("spans").alias(held))
