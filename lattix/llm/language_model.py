@@ -39,6 +39,8 @@ SAMPLE_BYTES = 16_000
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 LANES = 512
+EPOCHS = 3
+LEAST_STEPS = 400  # of training: a small sample is gone through more often
 WINDOW = 32
 END = b" "  # no word is a blank
 
@@ -220,7 +222,7 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, types: int, seed: int =
     return Model({x: i for i, (x, _) in enumerate(top)}, members, class_of, place, p, tokens, types, rest)
 
 
-def train(model: Model, texts: list[np.ndarray], epochs: int = 3, lanes: int = 32, rate: float = 3e-3) -> None:
+def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lanes: int = 32, rate: float = 3e-3) -> None:
     """Truncated backpropagation through time: windows of WINDOW tokens, the state carried on without its gradient. Adam."""
     start = model.words.get(END, model.other)
     stream = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
@@ -228,6 +230,7 @@ def train(model: Model, texts: list[np.ndarray], epochs: int = 3, lanes: int = 3
     if n < 2:
         return
     ids = stream[: n * lanes].reshape(lanes, n).T
+    epochs = epochs or max(EPOCHS, -(-LEAST_STEPS * WINDOW // n))
     p, k = model.p, HIDDEN
     m1, m2, turn = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
     for _ in range(epochs):

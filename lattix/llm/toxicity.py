@@ -42,7 +42,8 @@ class Model:
 
     def at_least(self, linear: np.ndarray) -> np.ndarray:
         """P(grade >= k) by text and k = 1, 2, ..."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - linear[:, None], -60, 60)))
+        away = self.thresholds[None, :] - linear[:, None]
+        return np.where(np.isinf(away), 0.0, 1 / (1 + np.exp(np.clip(away, -60, 60))))
 
 
 def present(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
