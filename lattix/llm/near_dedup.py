@@ -1,20 +1,24 @@
 """Near-duplicate groups from bottom-k sketches of one hash function, with exact Jaccard links.
 
-1. Each text's set of word shingles is hashed; the least ``ESTIMATE`` hashes are its sketch. Texts with the same words are
-   one node, named by a 128-bit digest, so that exact copies weigh nothing from here on.
-2. The least ``INDEX`` hashes are retained values. Ordered by how many nodes have them, rarest first, a node is listed
-   under its first n - s + 1 of n values: two nodes that share s of their values meet in a list. At the least similarity,
-   0.85, fewer than s = 0.4 n shared values have a probability under 1e-8. So very frequent values (a passage in a third of
-   all texts) list only nodes that consist of them. Lists are divided by size, since similar sets are of similar sizes.
+1. Each text's set of word shingles is hashed; the least ``ESTIMATE`` hashes, 24 bits of each, are its sketch, and the least
+   ``INDEX`` of them are retained in full. Texts with the same words are one node, so that exact copies weigh nothing from
+   here on.
+2. Inverted lists of the retained values: ordered by how many nodes have them, rarest first, a node is listed under its
+   first n - s + 1 of n values, so two nodes that share s of their values meet in a list. At the least similarity, 0.8 or
+   0.85, fewer than s = n / 2 shared values have a probability of about 1e-6 at most. So very frequent values (a passage in
+   a third of all texts) list only nodes that consist of them.
 3. First each listed node is compared with the least node of its list. Links join nodes to components. Then lists with more
-   than one component are worked through: in blocks of ``BLOCK`` nodes, and pairs of blocks, each node is compared with its
-   likeliest partners of other components, 8 first, then 64, then all. Nodes of one component need no further comparison.
-4. A pair is compared on the sketch of the union first: estimates five standard deviations below the limit go. The rest is
-   confirmed on the full sets of 64-bit shingle hashes: 100 * |A and B| >= 85 * |A or B|.
-
-Nothing of all documents goes to the driver, components included. Defined cases. Null or empty text: no shingles, linked
-with nothing, a component of its own. Fewer words than a shingle: the whole sequence is one. Repeated rows: the same node.
-Rows of one id with different texts are different nodes; a component's id is its least document id, nulls aside.
+   than one component are worked through: in blocks of ``BLOCK`` nodes, and pairs of blocks, nodes outside the block's
+   largest component are compared with all others and keep their likeliest partners, 8 first, then 64, then all. Nodes of
+   one component need no further comparison.
+4. A pair is compared on the sketch of its union; estimates ``DEVIATIONS`` standard deviations below the limit go. The rest
+   is confirmed on the full sets of 64-bit shingle hashes, 100 * |A and B| >= 85 * |A or B|. Only nodes of such pairs have
+   their texts fetched, compressed.
+
+Nothing of all documents goes to the driver, components included; tables that are used up are deleted. Defined cases. Null
+or empty text: no shingles, linked with nothing, a component of its own. Fewer words than a shingle: the whole sequence is
+one. Repeated rows: the same node. Rows of one id with different texts are different nodes; a component's id is its least
+document id, nulls aside.
 """
 
 from __future__ import annotations
@@ -24,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, stored
+from .shared import dropped, free_name, stored
 from .words import BLANK_WORD, Words, mix, pieces, window_hashes
 
 SHINGLE = 3
 PERCENT = 85
 INDEX = 32
 ESTIMATE = 128
-SHARED = 0.4
+SHARED = 0.5
 BLOCK = 2048
-ROWS = 20_000  # of lists, in one group of lists
-DEVIATIONS = 5.0
+ROWS = 2_000  # of lists, in one group of lists
+DEVIATIONS = 4.5
 
 
 def shingle_sets(w: Words, shingle: int) -> list[np.ndarray]:
@@ -62,22 +68,35 @@ def _node(w: Words, d: int) -> bytes | None:
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, node, size, retained, least) of each row; least: 32-bit heads of the sketch."""
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("retained", T.ArrayType(T.LongType())), T.StructField("least", T.BinaryType())])
+    """(row, id, node, size, retained, bits) of each row; row is a number of its own."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[doc_id].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("retained", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 w = Words(texts, BLANK_WORD, lower=True)
                 sets = shingle_sets(w, shingle)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([_node(w, d) for d in range(len(sets))], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s[:INDEX].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s[:ESTIMATE] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    pa.array(np.arange(row, row + len(sets))), part.column(0), pa.array([_node(w, d) for d in range(len(sets))], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:INDEX].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([packed_bits(s) for s in sets], pa.binary()),
                 ], names=schema.names)
+                row += len(sets)
 
     return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(scan, schema)
 
 
+def packed_bits(sorted_set: np.ndarray) -> bytes:
+    """The first 24 bits of each of the least values, three bytes each."""
+    heads = (sorted_set[:ESTIMATE] >> np.uint64(40)).astype(">u4")
+    return heads.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+
+
+def unpacked_bits(packed: bytes) -> np.ndarray:
+    x = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+    return x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
+
+
 def limit(size_a, size_b, percent: int):  # noqa: ANN001, ANN201
     """Values in the union's sketch, and the least share of common ones that may still be a link."""
     j = percent / 100
@@ -87,205 +106,227 @@ def limit(size_a, size_b, percent: int):  # noqa: ANN001, ANN201
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard estimate on the sketch of the union."""
-    union = np.union1d(a, b)[:ESTIMATE]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()) if len(union) else 0.0
+    """Jaccard estimate on the sketch of the union of two sorted sketches: of its least distinct values, the share in both."""
+    x = np.sort(np.concatenate([a, b]))
+    same = x[1:] == x[:-1]
+    if not len(same):
+        return 0.0
+    before = np.cumsum(same)
+    inside = np.arange(len(same)) - (before - same) < ESTIMATE  # distinct values before each
+    return np.count_nonzero(same & inside) / min(ESTIMATE, len(x) - int(before[-1]))
 
 
 def posted_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, class, own, node, size, least, posted): own is the node's size class; it is listed in that and the next."""
-    values = nodes.select("node", F.size("retained").alias("n"), F.explode("retained").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
-    met = values.join(often, "value")
-    by_node = Window.partitionBy("node")
-    prefix = F.col("n") - F.ceil(F.lit(SHARED) * F.col("n")) + 1
+    """(value, row, size, bits, members, hub, near): near says that the node is like its list's hub, the least node, on their sketches."""
+    values = nodes.select("row", "size", F.explode("retained").alias("value"))
+    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    by_node = Window.partitionBy("row")
+    n = F.least("size", F.lit(INDEX))
+    prefix = n - F.ceil(F.lit(SHARED) * n) + 1
     rank = F.row_number().over(by_node.orderBy("often", "value"))
-    listed = met.withColumn("place", F.col("n") - F.count("*").over(by_node) + rank).filter(F.col("place") <= prefix).select("node", "value")
-    posted = listed.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("posted"))
-    own = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    full = nodes.select("node", "size", "least").join(posted, "node").withColumn("own", own)
-    rows = full.select("*", F.explode("posted").alias("value")).select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("class"))
-    many = rows.groupBy("value", "class").agg(F.count("*").alias("members"), F.min("node").alias("hub")).filter("members > 1")
-    return rows.join(many, ["value", "class"])
-
-
-def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each node with the least node of each of its lists, where their sketches are like enough."""
-    pairs = lists.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("least").alias("least_b"))
-    pairs = pairs.dropDuplicates(["a", "b"])
-    hubs = lists.filter("node = hub").select(F.col("hub").alias("a"), F.col("size").alias("size_a"), F.col("least").alias("least_a")).dropDuplicates(["a"])
-    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    met = values.join(often, "value")
+    listed = met.withColumn("place", n - F.count(F.lit(1)).over(by_node) + rank).filter(F.col("place") <= prefix).select("row", "value")
+    rows = listed.join(nodes.select("row", "size", "bits"), "row").select("value", "row", "size", "bits")
+    hub = F.min(F.struct("row", "size", "bits"))
+    who = (F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members"), hub.alias("hub"), *who).filter("members > 1")
+    many = many.groupBy("members", "x", "y").agg(F.min("value").alias("value"), F.first("hub").alias("hub"))  # of lists of the same nodes, one
+    both = rows.join(many, "value").select("value", "row", "size", "bits", "members", F.col("hub.row").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.bits").alias("hub_bits"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {n: batch.column(batch.schema.get_field_index(n)) for n in ("size_a", "size_b", "least_a", "least_b")}
-            least = limit(x["size_a"].to_numpy(), x["size_b"].to_numpy(), percent)[1]
-            ok = [estimate(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) >= t for p, q, t in zip(x["least_a"].to_pylist(), x["least_b"].to_pylist(), least.tolist())]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return pairs.join(hubs, "a").filter(near).select("a", "b", "size_a", "size_b", "least_a", "least_b").mapInArrow(scan, "a binary, b binary")
-
-
-def _compare(rows: dict[str, list], members: np.ndarray, value: int, cls: int, sides: tuple[np.ndarray, np.ndarray] | None, most: int, percent: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one list (or of two of its blocks) worth confirming, and whether some node has more than ``most`` of them."""
-    size = np.array([rows["size"][i] for i in members])
-    own = np.array([rows["own"][i] for i in members])
-    label = np.unique(np.array([rows["label"][i] for i in members], dtype=object).astype("S16"), return_inverse=True)[1]
-    n = len(members)
-    parts = [np.frombuffer(rows["least"][i], "<u4") for i in members]
-    of = np.repeat(np.arange(n), [len(p) for p in parts])
-    kind, at = np.unique(np.concatenate(parts), return_inverse=True)
-    shared = np.bincount(at, minlength=len(kind)) > 1
-    column = np.cumsum(shared) - 1
-    use = shared[at]
-    of, at = of[use], column[at[use]]
-    common = np.zeros((n, n), dtype=np.float32)
-    for c in range(0, int(shared.sum()), 4096):
-        some = (at >= c) & (at < c + 4096)
-        x = np.zeros((n, min(4096, int(shared.sum()) - c)), dtype=np.float32)
+            x = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            a, b = x["size"].to_numpy().astype(np.int64), x["hub_size"].to_numpy().astype(np.int64)
+            least = limit(a, b, percent)[1]
+            some = (x["row"].to_numpy() != x["hub"].to_numpy()) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            near = np.zeros(len(a), dtype=bool)
+            for i in np.flatnonzero(some).tolist():
+                near[i] = estimate(unpacked_bits(x["bits"][i].as_py()), unpacked_bits(x["hub_bits"][i].as_py())) >= least[i]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near)], names=[*batch.schema.names[:6], "near"])
+
+    return both.mapInArrow(scan, "value long, row long, size int, bits binary, members long, hub long, near boolean")
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) of each node with the least nodes of its lists that it may be linked to."""
+    return lists.filter("near").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
+
+
+def _compare(size: np.ndarray, label: np.ndarray, bits: list[np.ndarray], block: np.ndarray, most: int, percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (places) of one list, or of two of its blocks, worth confirming, and whether some node has more than ``most``."""
+    n = len(size)
+    kinds, of_label = np.unique(label, return_inverse=True)
+    largest = np.bincount(of_label).argmax()
+    rest = np.flatnonzero(of_label != largest)  # two nodes of the largest component need no comparison
+    of = np.repeat(np.arange(n), [len(p) for p in bits])
+    flat = np.concatenate(bits)
+    kind, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    inside = np.zeros(n, dtype=bool)
+    inside[rest] = True
+    useful = times > 1  # values of one node only, or of the largest component only, say nothing here
+    useful[useful] = np.bincount(at[inside[of]], minlength=len(kind))[useful] > 0
+    column = np.cumsum(useful) - 1
+    use = useful[at]
+    of, at, n_kinds = of[use], column[at[use]], int(useful.sum())
+    common = np.zeros((len(rest), n), dtype=np.float32)
+    for c in range(0, n_kinds, 2048):
+        some = (at >= c) & (at < c + 2048)
+        x = np.zeros((n, min(2048, n_kinds - c)), dtype=np.float32)
         x[of[some], at[some] - c] = 1
-        common += x @ x.T
-    # a pair belongs to the least value under which both are listed, and to one size class
-    before = [[v for v in rows["posted"][i] if v < value] for i in members]
-    flat = np.array([v for p in before for v in p], dtype=np.int64)
-    if len(flat):
-        kind, at = np.unique(flat, return_inverse=True)
-        x = np.zeros((n, len(kind)), dtype=np.float32)
-        x[np.repeat(np.arange(n), [len(p) for p in before]), at] = 1
-        earlier = x @ x.T > 0
-    else:
-        earlier = np.zeros((n, n), dtype=bool)
-    k, least = limit(size[:, None], size[None, :], percent)
-    ok = (common >= np.floor(least * k) - 1) & ~earlier & (label[:, None] != label[None, :]) & (np.maximum(own[:, None], own[None, :]) == cls)
-    ok &= np.minimum(size[:, None], size[None, :]) * 100 >= np.maximum(size[:, None], size[None, :]) * percent
-    if sides is not None:
-        ok &= sides[0][:, None] & sides[1][None, :] | sides[1][:, None] & sides[0][None, :]
-    found, more = set(), False
+        common += x[rest] @ x.T
+    k, least = limit(size[rest][:, None], size[None, :], percent)
+    ok = (common >= np.floor(least * k) - 1) & (of_label[rest][:, None] != of_label[None, :])
+    ok &= np.minimum(size[rest][:, None], size[None, :]) * 100 >= np.maximum(size[rest][:, None], size[None, :]) * percent
+    if (block != block[0]).any():
+        ok &= block[rest][:, None] != block[None, :]  # pairs within a block are another group's
+    found, more = {}, False
     for i in np.flatnonzero(ok.any(axis=1)).tolist():
         to = np.flatnonzero(ok[i])
         if len(to) > most:
             more = True
             to = to[np.argsort(-(common[i, to] / k[i, to]), kind="stable")[:most]]
-        found |= {(min(i, j), max(i, j)) for j in to.tolist()}
-    return [(int(members[i]), int(members[j])) for i, j in found if estimate(parts[i], parts[j]) >= least[i, j]], more
+        me = int(rest[i])
+        found.update({(min(me, j), max(me, j)): x for j, x in zip(to.tolist(), least[i, to].tolist())})
+    return [(i, j) for (i, j), x in found.items() if estimate(bits[i], bits[j]) >= x], more
 
 
 def list_pairs(lists: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
-    """(a, b, more): pairs of different components, by lists with several components."""
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("value", "class").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
+    """(a, b, value): pairs of different components, by lists with several components; a row with a value names a list where some node has more."""
+    named = lists.drop("hub", "near").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    mixed = named.groupBy("value").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = named.join(mixed, ["value", "class"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = named.join(mixed, "value").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("value", "class", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "size", "own", "least", "posted", "label")
-    rows = stored(rows)
+    rows = stored(rows.select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "size", "bits", "label"))
     groups = max(1, rows.count() // ROWS)
-    names = ["value", "class", "low", "high", "block", "node", "size", "own", "least", "posted", "label"]
 
     def work(group: pa.Table) -> pa.Table:
-        r = {n: group.column(n).to_pylist() for n in names}
-        key = list(zip(r["value"], r["class"], r["low"], r["high"]))
-        order = sorted(range(len(key)), key=lambda i: (key[i], r["node"][i]))
-        a, b, more = [], [], False
-        begin = 0
-        for end in range(1, len(order) + 1):
-            if end < len(order) and key[order[end]] == key[order[begin]]:
-                continue
-            members = np.array(order[begin:end])
-            value, cls, low, high = key[order[begin]]
-            begin = end
-            if len(members) < 2:
+        group = group.sort_by([(n, "ascending") for n in ("value", "low", "high", "row")]).combine_chunks()
+        r = {n: group.column(n).to_numpy() for n in ("value", "low", "high", "block", "row", "size", "label")}
+        packed = group.column("bits")
+        new = np.ones(len(group), dtype=bool)
+        new[1:] = np.any([r[n][1:] != r[n][:-1] for n in ("value", "low", "high")], axis=0)
+        edge = np.append(np.flatnonzero(new), len(group))
+        pairs, more = set(), []
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if e - s < 2 or (r["low"][s] != r["high"][s] and (r["block"][s:e] == r["block"][s]).all()):
                 continue
-            block = np.array([r["block"][i] for i in members])
-            pairs, left = _compare(r, members, value, cls, None if low == high else (block == low, block == high), most, percent)
-            more |= left
-            a += [r["node"][i] for i, _ in pairs]
-            b += [r["node"][j] for _, j in pairs]
-        return pa.table({"a": pa.array([*a, *[None] * more], pa.binary()), "b": pa.array([*b, *[None] * more], pa.binary())})
+            bits = [unpacked_bits(x) for x in packed.slice(s, e - s).to_pylist()]
+            found, left = _compare(r["size"][s:e].astype(np.int64), r["label"][s:e], bits, r["block"][s:e], most, percent)
+            more += [int(r["value"][s])] * left
+            pairs |= {(int(r["row"][s + i]), int(r["row"][s + j])) for i, j in found}
+        none = [None] * len(more)
+        return pa.table({"a": pa.array([*(a for a, _ in pairs), *none], pa.int64()), "b": pa.array([*(b for _, b in pairs), *none], pa.int64()), "value": pa.array([*[None] * len(pairs), *more], pa.int64())})
+
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("value", "low", "high"), F.lit(groups))).groupBy("_group")
+    found = stored(grouped.applyInArrow(lambda t: work(t), "a long, b long, value long").distinct())
+    dropped(rows)
+    return found
+
+
+def fetched(docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, packed): the compressed words of each node of the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    ids = rows.select("row", "id", "node").join(wanted, "row", "left_semi")
+    source = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
+    joined = source.join(ids, F.col("_id").eqNullSafe(F.col("id"))).select("row", "node", "text")
 
-    return rows.withColumn("_group", F.pmod(F.xxhash64("value", "class", "low", "high"), F.lit(groups))).groupBy("_group").applyInArrow(lambda t: work(t), "a binary, b binary")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part, texts in pieces(batch, "text"):
+                w = Words(texts, BLANK_WORD, lower=True)
+                row, node = part.column(0).to_pylist(), part.column(1).to_pylist()
+                keep = [d for d, x in enumerate(node) if _node(w, d) == x]  # an id may have several texts
+                yield pa.RecordBatch.from_arrays([pa.array([row[d] for d in keep], pa.int64()), pa.array([pack(w.slice(int(w.first[d]), int(w.per_text[d]))) for d in keep], pa.binary())], names=["row", "packed"])
+
+    return joined.mapInArrow(scan, "row long, packed binary").dropDuplicates(["row"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    left = texts.select(F.col("row").alias("a"), F.col("packed").alias("pa"))
+    right = texts.select(F.col("row").alias("b"), F.col("packed").alias("pb"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ok = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            for s in range(0, len(a), 256):
+                of: dict[int, int] = {}
+                packed = []
+                for row, x in zip(a[s : s + 256] + b[s : s + 256], batch.column(2).slice(s, 256).to_pylist() + batch.column(3).slice(s, 256).to_pylist()):
+                    if row not in of:
+                        of[row] = len(packed)
+                        packed.append(x)
+                sets = shingle_sets(Words([unpack(x) for x in packed], BLANK_WORD, lower=False), shingle)
+                for p, q in zip(a[s : s + 256], b[s : s + 256]):
+                    x, y = sets[of[p]], sets[of[q]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(scan, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(scan, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every linked node; label: the least node of its component. Contraction by least neighbours."""
+    """(row, label) of every linked node; label: the least node of its component. Contraction by least neighbours."""
     edges, labels = stored(links.select("a", "b").distinct()), None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+        up = stored(both.groupBy(F.col("a").alias("row")).agg(F.least(F.col("row"), F.min("b")).alias("label")))
         while True:  # to the end of each chain
-            on = up.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            jumped = stored(up.join(on, "label", "left").select("node", F.coalesce("further", "label").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
-            up = jumped.select("node", "label")
+            on = up.select(F.col("row").alias("label"), F.col("label").alias("further"))
+            jumped = stored(up.join(on, "label", "left").select("row", F.coalesce("further", "label").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
+            up = jumped.select("row", "label")
             if jumped.filter("moved").isEmpty():
                 break
-        at = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        at = lambda c: up.select(F.col("row").alias(c), F.col("label").alias(f"{c}_label"))
         edges = stored(edges.join(at("a"), "a").join(at("b"), "b").filter("a_label != b_label").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct())
         if labels is None:
             labels = up
         else:
-            on = up.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            labels = labels.join(on, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            on = up.select(F.col("row").alias("label"), F.col("label").alias("further"))
+            labels = labels.join(on, "label", "left").select("row", F.coalesce("further", "label").alias("label"))
+    return stored(labels if labels is not None else edges.select(F.col("a").alias("row"), F.col("b").alias("label")))
 
 
 def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, node, n_shingles, component) of every row: its number of shingles, and the least id of its component."""
+    """(id, n_shingles, component) of every row: its number of shingles, and the least id of its component."""
     rows = stored(sketch(docs, doc_id, text, shingle))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("retained").alias("retained"), F.first("least").alias("least"), F.min("id").alias("id"))
-    lists = stored(posted_lists(stored(nodes), percent))
-    listed = lists.select("node").distinct()
-    ids = rows.filter("node is not null").join(listed, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sets = stored(_sets(docs, ids, doc_id, text, shingle))
-    links = stored(confirmed(hub_pairs(lists, percent), sets, percent))
-    labels = stored(components(links))
+    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("retained").alias("retained"), F.first("bits").alias("bits")))
+    lists = stored(posted_lists(nodes, percent))
+    named = stored(rows.select("id", "node", "size").join(nodes.select("node", F.col("row").alias("_row")), "node", "left").select("id", F.col("_row").alias("row"), F.col("size").cast("long").alias("n_shingles")))
+    ids = stored(rows.join(lists.select("row").distinct(), "row", "left_semi").select("row", "id", "node"))
+    dropped(rows, nodes)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        texts = stored(fetched(docs, ids, pairs, doc_id, text))
+        found = stored(confirmed(pairs, texts, shingle, percent))
+        dropped(pairs, texts)
+        return found
+
+    links = linked(hub_pairs(lists))
+    labels = components(links)
     for most in (8, 64, 1 << 30):
-        found = stored(list_pairs(lists, labels, most, percent))
-        pairs = found.filter("a is not null").distinct()
-        fresh = stored(confirmed(pairs, sets, percent))
+        found = list_pairs(lists, labels, most, percent)
+        fresh = linked(found.filter("value is null").select("a", "b"))
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
-            labels = stored(components(links))
-        if found.filter("a is null").isEmpty():
+            labels = components(links)
+        left = found.filter("value is not null").select("value")
+        if left.isEmpty():
             break
-    named = rows.select("id", "node", "size").join(labels, "node", "left").withColumn("_alone", F.when(F.col("node").isNull(), F.col("id")))
-    named = stored(named.select("id", "node", F.col("size").alias("n_shingles"), F.coalesce("label", "node").alias("label")))
-    least = named.filter("label is not null").groupBy("label").agg(F.min("id").alias("component"))
-    return named.join(least, "label", "left").select("id", "node", "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
-
-
-def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from one row of each."""
-    wanted = ids.select(F.col("id").alias("_wanted"), "node")
-    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    joined = source.join(wanted, F.col("id").eqNullSafe(F.col("_wanted"))).select("node", "text")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in pieces(batch, "text"):
-                w = Words(texts, BLANK_WORD, lower=True)
-                want = part.column(0).to_pylist()
-                keep = [d for d, x in enumerate(want) if _node(w, d) == x]  # an id may have several texts
-                sets = shingle_sets(w, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([want[d] for d in keep], pa.binary()), pa.array([sets[d].tobytes() for d in keep], pa.binary())], names=["node", "shingles"])
-
-    return joined.mapInArrow(scan, "node binary, shingles binary").dropDuplicates(["node"])
+        some = stored(lists.join(left, "value", "left_semi").select(*lists.columns))
+        dropped(lists)
+        lists = some
+    dropped(lists, ids)
+    full = stored(named.join(labels, "row", "left").select("id", "n_shingles", F.coalesce("label", "row").alias("label")))
+    dropped(named)
+    least = full.filter("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    return full.join(least, "label", "left").select("id", "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
