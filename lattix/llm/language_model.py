@@ -4,10 +4,13 @@ Corpus counts cover every training document: texts are gathered in chunks, a chu
 counts go, packed, to buckets by word hash, buckets add them up and answer each chunk with the counts of its own words.
 So no task and not the driver ever holds the corpus's vocabulary, and frequent words are one entry per chunk.
 
-The ``VOCABULARY`` most frequent tokens are the model's own; any other is one more class, out of which a token is drawn in
-proportion to its count plus one. A GRU is trained with truncated backpropagation through time on at most ``SAMPLE``
-training documents of at most ``SAMPLE_BYTES`` bytes (the one bounded sample here), with words in frequency classes.
-Scoring runs many documents side by side and carries each one's state across windows, to the end of the whole text.
+The most frequent tokens are the model's own, as many as ``GROWTH`` times the root of the number of types and at least
+``VOCABULARY``; any other is one more class, out of which a token is drawn in proportion to its count plus one. A GRU is
+trained with truncated backpropagation through time on every training document from its first to its last token, with
+words in frequency classes: in each round, learners go through their share of the stored texts, each from the same weights,
+and their weights are averaged. Learners and what each reads grow with the root of the input, and no text is read by two.
+Scoring runs many documents side by side and carries each one's state across windows, to the end of the whole text. Counts
+don't depend on how rows are dealt out; the weights, and so ``score``, do.
 
 Defined cases. Null or empty text: only the end token. A null id: a training document, held_out false. No training
 document at all: N and V are 0, counts are 0, and the model is its prior. Repeated rows each count and get their row.
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,16 @@ from .shared import stored, text_bytes
 from .words import LOWER, hash_slices, pieces
 
 VOCABULARY = 1000
-CLASSES = 24
+GROWTH = 16
 HIDDEN = 16
-SAMPLE = 600
-SAMPLE_BYTES = 16_000
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 LANES = 512
-EPOCHS = 3
-LEAST_STEPS = 400  # of training: a small sample is gone through more often
+LEARNER_BYTES = 1 << 20  # an input of n times that has root n learners
+ROUNDS = 4
+ROUND_TOKENS = 100_000  # of a learner, at least, for more than one round
+PIECE = 4096  # numbers of one parameter that are averaged together
+LEAST_STEPS = 400  # of training: a small corpus is gone through more often
 WINDOW = 32
 END = b" "  # no word is a blank
 
@@ -53,6 +57,11 @@ def split(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def own_words(types: float) -> int:
+    """Tokens that the model has as its own, for so many types of the corpus."""
+    return max(VOCABULARY, int(GROWTH * math.sqrt(types)))
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -98,8 +107,11 @@ def chunks(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
     return source.mapInArrow(scan, schema)
 
 
-def answers(requests: DataFrame, vocabulary: int) -> DataFrame:
-    """One row per request with the corpus counts of its words, in their order; one row per bucket with its totals and most frequent words."""
+def answers(requests: DataFrame, vocabulary: int | None, buckets: int) -> DataFrame:
+    """One row per request with the corpus counts of its words, in their order; one row per bucket with its totals and most frequent words.
+
+    A bucket gives ``vocabulary`` words, or its share of the model's own by the number of its types, 12 deviations and some more.
+    """
     schema = "chunk long, bucket int, counts binary, tokens long, types long, top array<struct<word:binary,n:long>>"
 
     def merge(group: pa.Table) -> pa.Table:
@@ -111,9 +123,11 @@ def answers(requests: DataFrame, vocabulary: int) -> DataFrame:
             asked.append(words)
             for x, n in zip(words, np.frombuffer(unpack(counts), dtype=np.int64).tolist()):
                 total[x] = total.get(x, 0) + n
-        top = sorted(((x, n) for x, n in total.items() if n), key=lambda p: (-p[1], p[0]))[:vocabulary] if len(total) < vocabulary else _most(total, vocabulary)
         k = len(asked)
         types = sum(n > 0 for n in total.values())
+        share = 1.25 * own_words(types * buckets) / buckets
+        most = vocabulary or max(VOCABULARY, int(share + 12 * math.sqrt(share)))
+        top = sorted(((x, n) for x, n in total.items() if n), key=lambda p: (-p[1], p[0]))[:most] if len(total) < most else _most(total, most)
         return pa.table({
             "chunk": pa.concat_arrays([group.column("chunk").combine_chunks(), pa.array([None], pa.int64())]),
             "bucket": pa.array([group.column("bucket")[0].as_py()] * (k + 1), pa.int32()),
@@ -211,7 +225,8 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, types: int, seed: int =
     rest = float(tokens + types + 1 - sum(n + 1 for _, n in top))
     mass = np.array([n + 1.0 for _, n in top] + [max(rest, 1.0)])
     root = np.sqrt(mass[:-1])
-    class_of = np.minimum((np.cumsum(root) - root) / max(root.sum(), 1) * (CLASSES - 1), CLASSES - 2).astype(int) if len(root) else np.zeros(0, dtype=int)
+    classes = max(24, int(0.75 * math.sqrt(len(root))))
+    class_of = np.minimum((np.cumsum(root) - root) / max(root.sum(), 1) * (classes - 1), classes - 2).astype(int) if len(root) else np.zeros(0, dtype=int)
     used = np.unique(class_of)
     class_of = np.append(np.searchsorted(used, class_of), len(used))
     members = [np.flatnonzero(class_of == k) for k in range(len(used) + 1)]
@@ -223,28 +238,39 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, types: int, seed: int =
 
 
 def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lanes: int = 32, rate: float = 3e-3) -> None:
-    """Truncated backpropagation through time: windows of WINDOW tokens, the state carried on without its gradient. Adam."""
+    """Truncated backpropagation through time: windows of WINDOW tokens, the state carried on without its gradient. Adam, on the rows met."""
     start = model.words.get(END, model.other)
     stream = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
-    n = len(stream) // lanes
-    if n < 2:
+    if not len(stream):
         return
-    ids = stream[: n * lanes].reshape(lanes, n).T
-    epochs = epochs or max(EPOCHS, -(-LEAST_STEPS * WINDOW // n))
+    n = max(2, -(-len(stream) // lanes))
+    ids = np.resize(stream, lanes * n).reshape(lanes, n).T  # the last lane is filled up from the first
+    epochs = epochs or max(1, -(-LEAST_STEPS * WINDOW // n))
     p, k = model.p, HIDDEN
     m1, m2, turn = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
+
+    def adam(name: str, v: np.ndarray, rows: slice | np.ndarray = slice(None)) -> None:
+        v = np.clip(v / lanes, -5, 5)
+        a, b = 0.9 * m1[name][rows] + 0.1 * v, 0.999 * m2[name][rows] + 0.001 * v * v
+        m1[name][rows], m2[name][rows] = a, b
+        p[name][rows] -= (rate / (1 - 0.9**turn) * a / (np.sqrt(b / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
+
     for _ in range(epochs):
         h = np.zeros((lanes, k), dtype=np.float32)
         before = np.full(lanes, start)
         for s in range(0, n, WINDOW):
+            turn += 1
             y = ids[s : s + WINDOW]
             x = np.concatenate([before[None], y[:-1]])
             before = y[-1]
             fresh = x == start  # a new text begins: the state is 0
-            keep, states = [], []
+            keep, states, gates = [], [], []
+            met, at = np.unique(x, return_inverse=True)
+            at = at.reshape(x.shape)
+            table = p["E"][met] @ p["Wx"] + p["b"]
             for t in range(len(y)):
-                h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-                a = p["E"][x[t]] @ p["Wx"] + p["b"]
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+                a = table[at[t]]
                 u = h @ p["U"]
                 zr = _sigmoid(a[:, : 2 * k] + u[:, : 2 * k])
                 z, r = zr[:, :k], zr[:, k:]
@@ -252,62 +278,113 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 keep.append((h, u, z, r, c))
                 h = c + z * (h - c)
                 states.append(h)
-            g = {name: np.zeros_like(v) for name, v in p.items()}
             out, flat = np.concatenate(states), y.ravel()
             cls = model.class_of[flat]
             d = np.exp(_log_softmax(out @ p["Wc"] + p["bc"]))
             d[np.arange(len(flat)), cls] -= 1
-            g["Wc"], g["bc"], dh_out = out.T @ d, d.sum(axis=0), d @ p["Wc"].T
+            dh_out = d @ p["Wc"].T
+            adam("Wc", out.T @ d)
+            adam("bc", d.sum(axis=0))
+            order = np.argsort(cls, kind="stable")
+            cut = np.searchsorted(cls[order], np.arange(len(model.members) + 1))
             for j, member in enumerate(model.members):
-                rows = np.flatnonzero(cls == j)
+                rows = order[cut[j] : cut[j + 1]]
                 if len(member) > 1 and len(rows):
-                    d = np.exp(_log_softmax(out[rows] @ p["Wo"][member].T + p["bo"][member]))
+                    of, some = slice(member[0], member[-1] + 1), out[rows]  # a class is a run of ids
+                    d = np.exp(_log_softmax(some @ p["Wo"][of].T + p["bo"][of]))
                     d[np.arange(len(rows)), model.place[flat[rows]]] -= 1
-                    g["Wo"][member] += d.T @ out[rows]
-                    g["bo"][member] += d.sum(axis=0)
-                    dh_out[rows] += d @ p["Wo"][member]
+                    dh_out[rows] += d @ p["Wo"][of]
+                    adam("Wo", d.T @ some, of)
+                    adam("bo", d.sum(axis=0), of)
             dh = np.zeros((lanes, k), dtype=np.float32)
+            hidden = []
             for t in range(len(y) - 1, -1, -1):
                 hp, u, z, r, c = keep[t]
                 dh = dh + dh_out[t * lanes : (t + 1) * lanes]
                 dz, dc = dh * (hp - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
                 dr = dc * u[:, 2 * k :] * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], axis=1)
+                gates.append(np.concatenate([dz, dr, dc], axis=1))
                 du = np.concatenate([dz, dr, dc * r], axis=1)
-                g["U"] += hp.T @ du
-                emb = p["E"][x[t]]
-                g["Wx"] += emb.T @ da
-                g["b"] += da.sum(axis=0)
-                np.add.at(g["E"], x[t], da @ p["Wx"].T)
-                dh = np.where(fresh[t][:, None], 0, dh * z + du @ p["U"].T)
-            turn += 1
-            for name, v in g.items():
-                v = np.clip(v / lanes, -5, 5)
-                m1[name] += 0.1 * (v - m1[name])
-                m2[name] += 0.001 * (v * v - m2[name])
-                p[name] -= (rate * m1[name] / (1 - 0.9**turn) / (np.sqrt(m2[name] / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
+                hidden.append(du)
+                dh = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ p["U"].T)
+            da, du = np.concatenate(gates[::-1]), np.concatenate(hidden[::-1])
+            by_word = np.zeros((len(met), 3 * k), dtype=np.float32)
+            np.add.at(by_word, at.ravel(), da)
+            emb, grad = p["E"][met], by_word @ p["Wx"].T
+            adam("U", np.concatenate([x[0] for x in keep]).T @ du)
+            adam("Wx", emb.T @ by_word)
+            adam("b", da.sum(axis=0))
+            adam("E", grad, met)
+
+
+def learned(texts: DataFrame, model: Model, learners: int, rounds: int) -> int:
+    """Trains on all training documents of the rows (packed, out); the number of tokens gone through, each counted once.
+
+    A learner's weights count by its tokens, the vector of a token by how often the learner met it.
+    """
+    spark = texts.sparkSession
+    trained = 0
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            own, unpack = shared.value, zstandard.ZstdDecompressor().decompress
+            own = replace(own, p={k: v.copy() for k, v in own.p.items()})
+            of, other, ids = own.words, own.other, []
+            for batch in batches:
+                for packed, out in zip(batch.column(0), batch.column(1)):
+                    for i, (t, o) in enumerate(zip(unpack(packed.as_py()).split(b"\xff"), out.as_py())):
+                        if not o and i % rounds == turn:
+                            ids.append(np.array([of.get(x, other) for x in (*split(t), END)], dtype=np.int32))
+            n = sum(map(len, ids))
+            if not n:
+                return
+            lanes = int(np.clip(n // (100 * WINDOW), 32, 512))
+            train(own, ids, max(1, -(-LEAST_STEPS * WINDOW * lanes // (rounds * n))), lanes)
+            times = np.bincount(np.concatenate(ids), minlength=other + 1)
+            sums = {k: (v * times[:, None] if k == "E" else v * float(n)).astype(np.float64).ravel() for k, v in own.p.items()}
+            sums |= {"times": times.astype(np.float64), "n": np.array([n], dtype=np.float64)}
+            who = TaskContext.get().partitionId()
+            for name, v in sums.items():
+                at = range(0, len(v), PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(list(at), pa.int64()), pa.array([who] * len(at), pa.int32()), pa.array([v[a : a + PIECE].tobytes() for a in at], pa.binary())], names=["name", "at", "who", "sums"])
+
+        def add(group: pa.Table) -> pa.Table:
+            group = group.sort_by("who")
+            total = sum(np.frombuffer(x, dtype=np.float64) for x in group.column("sums").to_pylist())
+            return pa.table({"name": group.column("name").slice(0, 1), "at": group.column("at").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        made = texts.select("packed", "out").coalesce(learners).mapInArrow(learn, "name string, at long, who int, sums binary")
+        rows = sorted(made.groupBy("name", "at").applyInArrow(add, "name string, at long, sums binary").collect(), key=lambda r: r["at"])
+        shared.destroy()
+        sums = {k: np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) for r in rows if r["name"] == k]) for k in {r["name"] for r in rows}}
+        if not sums:
+            continue
+        n, times = sums["n"][0], sums["times"][:, None]
+        trained += int(n)
+        for k, v in model.p.items():
+            x = sums[k].reshape(v.shape)
+            model.p[k] = (np.where(times > 0, x / np.maximum(times, 1), v) if k == "E" else x / n).astype(np.float32)
+    return trained
 
 
 # ---------------------------------------------------------------- operator
 
 
-def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
-    buckets = max(4, -(-text_bytes(docs, text) // BUCKET_BYTES))
+    size = text_bytes(docs, text)
+    buckets = max(4, -(-size // BUCKET_BYTES))
     gathered = stored(chunks(docs, doc_id, text, buckets))
-    answered = stored(answers(gathered.filter("bucket is not null").select("chunk", "bucket", "packed", "counts"), vocabulary))
+    answered = stored(answers(gathered.filter("bucket is not null").select("chunk", "bucket", "packed", "counts"), vocabulary, buckets))
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = sums["n"] or 0, sums["v"] or 0
-    top = answered.filter("tokens is not null").select(F.explode("top").alias("t")).orderBy(F.col("t.n").desc(), "t.word").limit(vocabulary).collect()
+    top = answered.filter("tokens is not null").select(F.explode("top").alias("t")).orderBy(F.col("t.n").desc(), "t.word").limit(vocabulary or own_words(types)).collect()
     model = new_model([(bytes(r["t"]["word"]), r["t"]["n"]) for r in top], tokens, types)
-    pick = docs.filter(~held_out(doc_id) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
-    total = tokens and pick.count()
-    if total:
-        share = min(1.0, 0.9 * sample / total)
-        rows = pick.filter(F.pmod("h", F.lit(1_000_000)) < max(1, int(share * 1_000_000))).limit(sample).collect()
-        texts = [[*split(r["text"].encode()), END] for r in sorted(rows, key=lambda r: r["h"])]
-        train(model, [np.array([model.words.get(x, model.other) for x in t]) for t in texts])
+    if tokens:
+        learners = max(1, math.isqrt(size // LEARNER_BYTES))
+        learned(gathered.filter("bucket is null"), model, learners, min(ROUNDS, max(1, tokens // (learners * ROUND_TOKENS))))
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), *(T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
 

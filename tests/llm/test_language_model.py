@@ -97,3 +97,31 @@ def test_only_held_out_documents(spark):
     [r] = lm.score_documents(spark.createDataFrame([(d, "a b c")], "doc_id long, text string")).collect()
     assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, pytest.approx(0.0))
     assert np.isfinite(r["score"])
+
+
+def test_long_documents_train_too(spark):
+    """Texts of 20,000 bytes and more, and no others."""
+    texts = [" ".join(sentences(100, seed)) for seed in range(24)]
+    assert min(map(len, texts)) > 20_000
+    out = lm.score_documents(frame(spark, texts)).filter("held_out").collect()
+    assert out and sum(r["score"] for r in out) > 0.8 * sum(r["base_score"] for r in out)
+
+
+def test_every_training_token_is_gone_through(spark):
+    docs = frame(spark, sentences(700)).repartition(3)
+    gathered = lm.chunks(docs, "doc_id", "text", 4).filter("bucket is null")
+    expected = brute([(r["doc_id"], r["text"]) for r in docs.collect()])[0][4]
+    model = lm.new_model([(x.encode(), 9) for x in ["the", "a", "cat", "dog", " "]], expected, 12)
+    assert lm.learned(gathered, model, 2, 3) == expected
+
+
+def test_vocabulary_grows(spark):
+    """2,500 tokens that come twice each among 40,000 that come once are all the model's own."""
+    r = random.Random(3)
+    words = [f"often{i}" for i in range(2500)] * 2 + [f"once{i}" for i in range(40_000)]
+    r.shuffle(words)
+    docs = frame(spark, [" ".join(words)]).selectExpr("CAST(NULL AS BIGINT) doc_id", "text")
+    gathered = lm.chunks(docs, "doc_id", "text", 4)
+    rows = lm.answers(gathered.filter("bucket is not null").select("chunk", "bucket", "packed", "counts"), None, 4).filter("tokens is not null").collect()
+    top = sorted(((x["n"], bytes(x["word"])) for row in rows for x in row["top"]), reverse=True)[: lm.own_words(sum(row["types"] for row in rows))]
+    assert sum(n == 2 for n, _ in top) == 2500
