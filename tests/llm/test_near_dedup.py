@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -113,3 +114,15 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 3, 4]
     clash = docs.withColumnRenamed("lang", "_kept").withColumnRenamed("source", "row")
     assert near_dedup.keep_one(clash).columns == clash.columns
+
+
+@pytest.mark.parametrize("j", [0.8, 0.85])
+def test_both_filters_lose_few_pairs_at_the_limit(j):
+    """A text contained in the other, by the binomial distribution."""
+
+    def below(n, k):
+        return sum(math.comb(n, i) * j**i * (1 - j) ** (n - i) for i in range(k))
+
+    lists = below(near_dedup.INDEX, math.ceil(near_dedup.SHARED * near_dedup.INDEX))
+    least = near_dedup.limit(10**9, 10**9 * j, round(100 * j))[1] * near_dedup.ESTIMATE
+    assert lists + below(near_dedup.ESTIMATE, math.ceil(least)) < 3e-6
