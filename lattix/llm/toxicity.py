@@ -57,21 +57,21 @@ def present(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key // len(words), key % len(words)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l1: float = 2e-4, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by accelerated proximal gradient steps; L1 on the weights, none below 0."""
-    n, k = x.shape
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l1: float = 2e-4, steps: int = 500, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by accelerated proximal gradient steps; L1 on the weights, none below 0. A row counts ``times``."""
+    share = np.full(len(x), 1 / len(x)) if times is None else times / times.sum()
     t = np.linspace(1.0, 2.0, grades)
-    w = np.zeros(k)
+    w = np.zeros(x.shape[1])
     reached = (y[:, None] >= np.arange(1, grades + 1)).astype(float)
     at_w, at_t, old_w, old_t, momentum = w, t, w, t, 1.0
-    rate = 4.0 / max(1.0, float(np.linalg.norm(x, 2) ** 2 / n) * grades + 1)
+    rate = 4.0 / max(1.0, float(np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2) * grades + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(at_t[None, :] - (x @ at_w)[:, None], -60, 60)))
         # likelihood of the cells P(>=k) - P(>=k+1), as shared logistic losses of the cumulative events
-        miss = p - reached
-        w = at_w - rate * (x.T @ miss.sum(axis=1)) / n
+        miss = (p - reached) * share[:, None]
+        w = at_w - rate * (x.T @ miss.sum(axis=1))
         w = np.maximum(w - rate * l1, 0)
-        t = np.maximum.accumulate(at_t + rate * miss.mean(axis=0))
+        t = np.maximum.accumulate(at_t + rate * miss.sum(axis=0))
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         at_w, at_t = w + (momentum - 1) / following * (w - old_w), t + (momentum - 1) / following * (t - old_t)
         old_w, old_t, momentum = w, t, following
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     # equal (label, features) are one row with a count: documents without any feature are one row
     rows = labelled.mapInArrow(matrix, "y int, x array<int>").groupBy("y", "x").count().limit(sample).collect()
-    times = np.sqrt(np.array([min(r["count"], n_clean) for r in rows]))
+    times = np.array([r["count"] for r in rows], dtype=float)
     x = np.zeros((len(rows), len(words)))
     for i, r in enumerate(rows):
         x[i, r["x"]] = 1
@@ -143,8 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if not graded:
         n = x[:, marker].sum(axis=1)
         y = np.where(y > 0, 1 + (n > 2) + (n > 4), 0)
-    take = np.repeat(np.arange(len(rows)), np.ceil(times).astype(int))
-    w, t = fit_ordinal(x[take], y[take], int(max(y.max(), GRADES)))
+    w, t = fit_ordinal(x, y, int(max(y.max(), GRADES)), times=times)
     used = w != 0
     return Model(words[used], w[used], t)
 

@@ -78,3 +78,16 @@ def test_grade_column_is_used(spark):
     graded = spark.createDataFrame([(d, t, 2 * t) for d, t in labels], "doc_id long, toxic int, grade int")
     model = toxicity.fit(frame(spark, texts), graded)
     assert model.thresholds[0] == pytest.approx(model.thresholds[1], abs=0.5)
+
+
+def test_equal_rows_keep_their_count(spark):
+    """Clean documents with one word of the toxic ones, as often as theirs: P(toxic) is the share in the labels."""
+    rows = [("vile1 vile2 vile3", 1)] * 40 + [("plain words", 0)] * 3960 + [("vile1", 0)] * 40 + [("vile1", 1)] * 40
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.at_least(np.zeros(1))[0, 0] < 0.01  # no document without a feature is toxic
+    x = np.array([[1.0], [1.0], [0.0]])
+    w, t = toxicity.fit_ordinal(x, np.array([1, 0, 0]), 1, times=np.array([90.0, 10.0, 9900.0]), l1=0.0, steps=3000)
+    v, u = toxicity.fit_ordinal(np.repeat(x, [90, 10, 9900], axis=0), np.repeat([1, 0, 0], [90, 10, 9900]), 1, l1=0.0, steps=3000)
+    assert np.allclose(w, v) and np.allclose(t, u)
