@@ -5,7 +5,8 @@ plan) and replaced by a keyed Feistel permutation of its own format, so equal va
 documents and different values stay different:
 
 * ``card``   first digit kept, other payload digits permuted, check digit computed anew; separators stay
-* ``iban``   country kept, letters and digits permuted within their class, check digits computed anew
+* ``iban``   country kept, letters and digits permuted within their class, check digits computed anew; as long as the
+             country's are, of unlisted countries as far as groups go, so that a next word may hide a valid one
 * ``date``   the day is permuted within the 400 years 1800-2199; the layout stays
 * ``ip``     all 2^32 addresses
 * ``ssn``    all valid area, group and serial numbers
@@ -27,16 +28,19 @@ KINDS = ("secret", "email", "iban", "date", "ip", "card", "ssn", "phone")
 ROUNDS = 8
 TEST_KEY = "lattix-test-key"
 
+_IBAN_COUNTRIES = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}  # by length
+_IBAN = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"(?: ?[A-Z0-9]{{{(n - 4) % 4}}})" if n % 4 else "") for n, c in _IBAN_COUNTRIES.items())
+_ASSIGNED = r"""(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?=[A-Za-z_+/-]{0,80}\d)[A-Za-z0-9_+/-]{8,200}""",
+    "secret": rf"(?<![A-Za-z0-9]){_ASSIGNED}(?=[A-Za-z_+/.=~-]*\d)[A-Za-z0-9_+/.~-][A-Za-z0-9_+/.=~-]{{6,}}[A-Za-z0-9_+/=~-]",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d|-\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\d+(-])(?:(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])[2-9]\d{2}[ .-]\d{4}|\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?![\d]|-\d)",
+    "phone": r"(?<![\d+(-])(?:(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])[2-9]\d{2}[ .-]\d{4}|\+1[ .-]?\d{3} [2-9]\d{2}[ .-]\d{4}|\+(?!1)\d{1,3}[ .-]\(?\d\)?(?:[ .-]?\d{2,4}){2,5}|\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?![\d]|-\d)",
 }
 
 
@@ -79,13 +83,14 @@ class _Sql:
         )
 
     def shifted(self, text: str, other: str, label: str, hexadecimal: bool) -> str:
-        noise = self.noise(label, "r", "i", other)
+        noise = self.noise(label, "r", "i", "o")
 
         def turn(alphabet: str) -> str:
             return f"substring('{alphabet}', CAST((instr('{alphabet}', c) - 1 + {noise}) % {len(alphabet)} AS INT) + 1, 1)"
 
         classes = [("[0-9a-f]", "0123456789abcdef")] if hexadecimal else [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
-        return f"array_join(transform(filter(split({text}, ''), e -> e != ''), (c, i) -> CASE {' '.join(f'WHEN c RLIKE {_lit(p)} THEN {turn(x)}' for p, x in classes)} ELSE c END), '')"
+        turned = f"array_join(transform(filter(split({text}, ''), e -> e != ''), (c, i) -> CASE {' '.join(f'WHEN c RLIKE {_lit(p)} THEN {turn(x)}' for p, x in classes)} ELSE c END), '')"
+        return self.let("o", f"IF(length({other}) > 100, sha2({other}, 256), {other})", turned)  # work doesn't grow with the square of a long secret
 
     def characters(self, v: str, label: str, hexadecimal: bool = False) -> str:
         """Permutation of the strings with the same class of character in each place."""
@@ -136,7 +141,7 @@ class _Sql:
 
     def pseudonym(self, m: str, kind: str) -> str:
         if kind == "secret":
-            value = f"regexp_extract({m}, '[A-Za-z0-9_+/-]+$', 0)"
+            value = f"regexp_extract({m}, {_lit('^' + _ASSIGNED + '(.*)$')}, 1)"
             body = f"concat(substring({m}, 1, length({m}) - length(v)), IF(v RLIKE '^[0-9a-f]+$', {self.characters('v', 'hex', True)}, {self.characters('v', 'secret')}))"
             return self.let("v", value, body)
         if kind == "email":
