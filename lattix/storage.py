@@ -22,15 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+#: Shuffle files of a statement go when it ends, so a written table's own shuffles don't stay beside it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again; deleted when Spark ends."""
+    """Written to the shared folder and read again; its shuffle files go at once, the table when dropped() or when Spark ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that stored() wrote and that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for f in df.inputFiles()[:1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if at.getName().startswith("lattix-"):
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
