@@ -1,25 +1,35 @@
 """Near-duplicate groups from bottom-k sketches of one hash function, with exact Jaccard links.
 
-1. Each text's set of word shingles is hashed; the least ``ESTIMATE`` hashes, 24 bits of each, are its sketch, and the least
-   ``INDEX`` of them are retained in full. Texts with the same words are one node, so that exact copies weigh nothing from
-   here on.
+1. Each text's set of word shingles is hashed; its ``INDEX`` least hashes are retained. Texts with the same words are one
+   node, so that exact copies weigh nothing from here on.
 2. Inverted lists of the retained values: ordered by how many nodes have them, rarest first, a node is listed under its
    first n - s + 1 of n values, so two nodes that share s of their values meet in a list. For a text contained in the other,
    the worst case, fewer than s = 0.4 n (13 of 32) shared values have a probability of 1.9e-7 at a similarity of 0.8 and
    1.2e-9 at 0.85. So very frequent values (a passage in a third of all texts) list few nodes but those that consist of them.
-3. First each listed node is compared with the least node of its list. Links join nodes to components. Then lists with more
-   than one component are worked through: in blocks of ``BLOCK`` nodes, and pairs of blocks, nodes outside the block's
-   largest component are compared with all others and keep their likeliest partners, 8 first, then 64, then all. Nodes of
-   one component need no further comparison.
-4. A pair is compared on the sketch of its union; estimates ``DEVIATIONS`` standard deviations below the limit go, of
-   pairs at the limit 1.4e-6 at 0.8 and 2.8e-6 at 0.85, so both filters lose 1.6e-6 and 2.8e-6 a pair. The rest
-   is confirmed on the full sets of 64-bit shingle hashes, 100 * |A and B| >= 85 * |A or B|. Only nodes of such pairs have
-   their texts fetched, compressed.
+3. A list's hub is its most typical node, whose values most nodes have. Every other node of the list is held against the hub,
+   not against its like: first on the sketch of their union, which sends texts with under ``LEAST`` of 32 values in common to
+   the next level; then on the full sets. A hub's nodes are dealt out in blocks of a bounded size, each with a copy of the
+   hub, and stream through a task. A node is linked to the hub or to one of a few other leaders of its block, by one row.
+4. Links join nodes to components. Pairs of different components that have a hub in common are found by what they differ in
+   from it: with X the symmetric difference of a set and the hub's, that of two sets is the one of their X. If i isn't linked
+   to the hub, a link i - j needs more than about half of j's X to be in i's, so the rarer half of j's X is an inverted list
+   (AllPairs prefix), and the exact overlap of the X of such pairs confirms or rejects the link. Near copies differ from
+   their hub by edits of their own, so such lists are short where lists of whole sets would hold the group.
+5. Nodes less similar than ``NEAR`` to their hub, and those that could be linked to such a node (by the triangle inequality of
+   the Jaccard distance), make up the lists of the next level, with hubs of their own. What is left after ``LEVELS`` is
+   compared by prefixes of whole sets. So no pair of a list goes unexamined, and none is emitted but for likely links.
+
+A pair on the limit is lost if it meets in no list (see 2). The filter of 3 can lose it only if it meets in one list, one
+text is half like the hub or more and shares under 4 of 32 values with it (1.3e-6), the other one is over 0.65 like it.
+``exact=True`` retains whole sets, lists nodes under the exact prefix and skips the sketch filter: nothing is lost, at the
+cost of a posting for each shingle.
 
 Nothing of all documents goes to the driver, components included; tables that are used up are deleted. Defined cases. Null
 or empty text: no shingles, linked with nothing, a component of its own. Fewer words than a shingle: the whole sequence is
-one. Repeated rows: the same node. Rows of one id with different texts are different nodes; a component's id is its least
-document id, nulls aside.
+one. Very long texts: a set is 8 bytes a distinct shingle, and a task holds those of a hub and 16 leaders. Repeated rows: the
+same node. Ties between hubs go by a hash of the row; they don't change links. Rows of one id with different texts are
+different nodes; a component's id is its least document id, nulls aside. An empty table: no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -41,11 +51,14 @@ from .words import BLANK_WORD, Words, mix, pieces, window_hashes
 SHINGLE = 3
 PERCENT = 85
 INDEX = 32
-ESTIMATE = 128
 SHARED = 0.4
-BLOCK = 2048
-ROWS = 2_000  # of lists, in one group of lists
-DEVIATIONS = 5.0
+LEAST = 4  # of INDEX values of the union, in both
+NEAR = 0.5  # a node this similar to its hub is compared through what differs
+LEVELS = 3
+BLOCK = 4 << 20  # shingles of a hub's nodes in one block
+INNER, OUTER = 4, 12  # leaders of a block: nodes linked to the hub, and not
+SLICE_BYTES = 1 << 20
+_TOP = np.uint64(1 << 63)  # signed order of flipped values is their order as hashes
 
 
 def shingle_sets(w: Words, shingle: int) -> list[np.ndarray]:
@@ -68,9 +81,9 @@ def _node(w: Words, d: int) -> bytes | None:
     return hashlib.blake2b(w.slice(int(w.first[d]), n), digest_size=16).digest() if n else None
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(row, id, node, size, retained, bits) of each row; row is a number of its own."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[doc_id].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("retained", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int, exact: bool) -> DataFrame:
+    """(row, id, node, size, retained) of each row; row is a number of its own."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[doc_id].dataType), T.StructField("node", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("retained", T.ArrayType(T.LongType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -79,158 +92,32 @@ def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 w = Words(texts, BLANK_WORD, lower=True)
                 sets = shingle_sets(w, shingle)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + len(sets))), part.column(0), pa.array([_node(w, d) for d in range(len(sets))], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int32()), pa.array([s[:INDEX].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([packed_bits(s) for s in sets], pa.binary()),
+                    pa.array(np.arange(row, row + len(sets))), part.column(0), pa.array([_node(w, d) for d in range(len(sets))], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([((s if exact else s[:INDEX]) ^ _TOP).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ], names=schema.names)
                 row += len(sets)
 
     return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(scan, schema)
 
 
-def packed_bits(sorted_set: np.ndarray) -> bytes:
-    """The first 24 bits of each of the least values, three bytes each."""
-    heads = (sorted_set[:ESTIMATE] >> np.uint64(40)).astype(">u4")
-    return heads.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
-
-
-def unpacked_bits(packed: bytes) -> np.ndarray:
-    x = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-    return x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
-
-
-def limit(size_a, size_b, percent: int):  # noqa: ANN001, ANN201
-    """Values in the union's sketch, and the least share of common ones that may still be a link."""
-    j = percent / 100
-    union = (size_a + size_b) / (1 + j)
-    k = np.minimum(ESTIMATE, np.maximum(union, 1))
-    return k, np.where(union <= ESTIMATE, j - 0.05, j - DEVIATIONS * np.sqrt(j * (1 - j) / k * (1 - k / np.maximum(union, k))))
-
-
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard estimate on the sketch of the union of two sorted sketches: of its least distinct values, the share in both."""
-    x = np.sort(np.concatenate([a, b]))
-    same = x[1:] == x[:-1]
-    if not len(same):
-        return 0.0
-    before = np.cumsum(same)
-    inside = np.arange(len(same)) - (before - same) < ESTIMATE  # distinct values before each
-    return np.count_nonzero(same & inside) / min(ESTIMATE, len(x) - int(before[-1]))
-
-
-def posted_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, row, size, bits, members, hub, near): near says that the node is like its list's hub, the least node, on their sketches."""
-    values = nodes.select("row", "size", F.explode("retained").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+def posted_lists(nodes: DataFrame, share: float) -> DataFrame:
+    """(key, row, size, typical): nodes under each of the first values of their prefix that another node has, too."""
+    values = nodes.select("row", "size", F.size("retained").alias("n"), F.explode("retained").alias("key"))
+    often = stored(values.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
     by_node = Window.partitionBy("row")
-    n = F.least("size", F.lit(INDEX))
-    prefix = n - F.ceil(F.lit(SHARED) * n) + 1
-    rank = F.row_number().over(by_node.orderBy("often", "value"))
-    met = values.join(often, "value")
-    listed = met.withColumn("place", n - F.count(F.lit(1)).over(by_node) + rank).filter(F.col("place") <= prefix).select("row", "value")
-    rows = listed.join(nodes.select("row", "size", "bits"), "row").select("value", "row", "size", "bits")
-    hub = F.min(F.struct("row", "size", "bits"))
-    who = (F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
-    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members"), hub.alias("hub"), *who).filter("members > 1")
-    many = many.groupBy("members", "x", "y").agg(F.min("value").alias("value"), F.first("hub").alias("hub"))  # of lists of the same nodes, one
-    both = rows.join(many, "value").select("value", "row", "size", "bits", "members", F.col("hub.row").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.bits").alias("hub_bits"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            a, b = x["size"].to_numpy().astype(np.int64), x["hub_size"].to_numpy().astype(np.int64)
-            least = limit(a, b, percent)[1]
-            some = (x["row"].to_numpy() != x["hub"].to_numpy()) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            near = np.zeros(len(a), dtype=bool)
-            for i in np.flatnonzero(some).tolist():
-                near[i] = estimate(unpacked_bits(x["bits"][i].as_py()), unpacked_bits(x["hub_bits"][i].as_py())) >= least[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near)], names=[*batch.schema.names[:6], "near"])
+    prefix = F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    rank = F.row_number().over(by_node.orderBy("often", "key"))
+    met = values.join(often, "key").withColumn("place", F.col("n") - F.count(F.lit(1)).over(by_node) + rank).withColumn("typical", F.sum("often").over(by_node))
+    listed = stored(met.filter(F.col("place") <= prefix).select("key", "row", "size", "typical"))
+    dropped(often)
+    return listed
 
-    return both.mapInArrow(scan, "value long, row long, size int, bits binary, members long, hub long, near boolean")
 
-
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of each node with the least nodes of its lists that it may be linked to."""
-    return lists.filter("near").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
-
-
-def _compare(size: np.ndarray, label: np.ndarray, bits: list[np.ndarray], block: np.ndarray, most: int, percent: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (places) of one list, or of two of its blocks, worth confirming, and whether some node has more than ``most``."""
-    n = len(size)
-    kinds, of_label = np.unique(label, return_inverse=True)
-    largest = np.bincount(of_label).argmax()
-    rest = np.flatnonzero(of_label != largest)  # two nodes of the largest component need no comparison
-    of = np.repeat(np.arange(n), [len(p) for p in bits])
-    flat = np.concatenate(bits)
-    kind, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    inside = np.zeros(n, dtype=bool)
-    inside[rest] = True
-    useful = times > 1  # values of one node only, or of the largest component only, say nothing here
-    useful[useful] = np.bincount(at[inside[of]], minlength=len(kind))[useful] > 0
-    column = np.cumsum(useful) - 1
-    use = useful[at]
-    of, at, n_kinds = of[use], column[at[use]], int(useful.sum())
-    common = np.zeros((len(rest), n), dtype=np.float32)
-    for c in range(0, n_kinds, 2048):
-        some = (at >= c) & (at < c + 2048)
-        x = np.zeros((n, min(2048, n_kinds - c)), dtype=np.float32)
-        x[of[some], at[some] - c] = 1
-        common += x[rest] @ x.T
-    k, least = limit(size[rest][:, None], size[None, :], percent)
-    ok = (common >= np.floor(least * k) - 1) & (of_label[rest][:, None] != of_label[None, :])
-    ok &= np.minimum(size[rest][:, None], size[None, :]) * 100 >= np.maximum(size[rest][:, None], size[None, :]) * percent
-    if (block != block[0]).any():
-        ok &= block[rest][:, None] != block[None, :]  # pairs within a block are another group's
-    found, more = {}, False
-    for i in np.flatnonzero(ok.any(axis=1)).tolist():
-        to = np.flatnonzero(ok[i])
-        if len(to) > most:
-            more = True
-            to = to[np.argsort(-(common[i, to] / k[i, to]), kind="stable")[:most]]
-        me = int(rest[i])
-        found.update({(min(me, j), max(me, j)): x for j, x in zip(to.tolist(), least[i, to].tolist())})
-    return [(i, j) for (i, j), x in found.items() if estimate(bits[i], bits[j]) >= x], more
-
-
-def list_pairs(lists: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
-    """(a, b, value): pairs of different components, by lists with several components; a row with a value names a list where some node has more."""
-    named = lists.drop("hub", "near").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    mixed = named.groupBy("value").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = named.join(mixed, "value").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = stored(rows.select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "size", "bits", "label"))
-    groups = max(1, rows.count() // ROWS)
-
-    def work(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(n, "ascending") for n in ("value", "low", "high", "row")]).combine_chunks()
-        r = {n: group.column(n).to_numpy() for n in ("value", "low", "high", "block", "row", "size", "label")}
-        packed = group.column("bits")
-        new = np.ones(len(group), dtype=bool)
-        new[1:] = np.any([r[n][1:] != r[n][:-1] for n in ("value", "low", "high")], axis=0)
-        edge = np.append(np.flatnonzero(new), len(group))
-        pairs, more = set(), []
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if e - s < 2 or (r["low"][s] != r["high"][s] and (r["block"][s:e] == r["block"][s]).all()):
-                continue
-            bits = [unpacked_bits(x) for x in packed.slice(s, e - s).to_pylist()]
-            found, left = _compare(r["size"][s:e].astype(np.int64), r["label"][s:e], bits, r["block"][s:e], most, percent)
-            more += [int(r["value"][s])] * left
-            pairs |= {(int(r["row"][s + i]), int(r["row"][s + j])) for i, j in found}
-        none = [None] * len(more)
-        return pa.table({"a": pa.array([*(a for a, _ in pairs), *none], pa.int64()), "b": pa.array([*(b for _, b in pairs), *none], pa.int64()), "value": pa.array([*[None] * len(pairs), *more], pa.int64())})
-
-    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("value", "low", "high"), F.lit(groups))).groupBy("_group")
-    found = stored(grouped.applyInArrow(lambda t: work(t), "a long, b long, value long").distinct())
-    dropped(rows)
-    return found
-
-
-def fetched(docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, packed): the compressed words of each node of the pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    ids = rows.select("row", "id", "node").join(wanted, "row", "left_semi")
-    source = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
-    joined = source.join(ids, F.col("_id").eqNullSafe(F.col("id"))).select("row", "node", "text")
+def fetched(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, packed): the compressed words of each node."""
+    ids = nodes.select("row", F.col("id").alias("_id"), "node")
+    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    joined = source.join(ids, F.col("id").eqNullSafe(F.col("_id"))).select("row", "node", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -244,92 +131,239 @@ def fetched(docs: DataFrame, rows: DataFrame, pairs: DataFrame, doc_id: str, tex
     return joined.mapInArrow(scan, "row long, packed binary").dropDuplicates(["row"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    left = texts.select(F.col("row").alias("a"), F.col("packed").alias("pa"))
-    right = texts.select(F.col("row").alias("b"), F.col("packed").alias("pb"))
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """(c, row, size, typical, block): each node of a list with the list's hub, once, and one of the hub's blocks."""
+    score = F.shiftleft("typical", 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))
+    sums = lists.groupBy("key").agg(F.max_by("row", score).alias("c"), F.ceil(F.sum(F.col("size").cast("long")) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    hubs = stored(sums.filter("members > 1").drop("members"))
+    block = F.min(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).alias("block")
+    out = stored(lists.join(hubs, "key").filter("row != c").groupBy("c", "row", "size", "typical").agg(block))
+    dropped(hubs)
+    return out
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, exact: bool) -> DataFrame:
+    """Pairs with near: their full sets are worth a comparison."""
+    a = nodes.select(F.col("row").alias("c"), F.col("size").alias("c_size"), F.col("retained").alias("ra"))
+    both = pairs.join(nodes.select("row", F.col("retained").alias("rb")), "row").join(a, "c")
+    near = F.least("size", "c_size") >= NEAR * F.greatest("size", "c_size")
+    if not exact:
+        union = F.slice(F.array_sort(F.array_union("ra", "rb")), 1, INDEX)
+        common = F.size(F.array_intersect(union, F.array_intersect("ra", "rb")))
+        near &= common * INDEX >= LEAST * F.size(union)
+    return stored(both.select(*pairs.columns, near.alias("near")))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted sets: for each value of b whether it is in a, and the places in a of those."""
+    at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
+    there = a[at] == b if len(a) else np.zeros(len(b), dtype=bool)
+    return there, at[there]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Each pair's full sets: (c, row, typical, size, c_size, common, leader, x). leader: a node that row is linked to, c before others; x: in one set only, from NEAR on."""
+    members = pairs.select("c", "block", F.lit(1).alias("turn"), "typical", "row")
+    hubs = pairs.select("c", "block").distinct().select("c", "block", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("typical"), F.col("c").alias("row"))
+    dealt = members.unionByName(hubs).join(texts, "row").repartition("c", "block").sortWithinPartitions("c", "block", "turn", F.desc("typical"), "row")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        hub, leaders, inner, outer = np.zeros(0, dtype=np.uint64), [], 0, 0
+        linked = lambda both, a, b: 100 * both >= percent * (len(a) + len(b) - both)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for s in range(0, len(a), 256):
-                of: dict[int, int] = {}
-                packed = []
-                for row, x in zip(a[s : s + 256] + b[s : s + 256], batch.column(2).slice(s, 256).to_pylist() + batch.column(3).slice(s, 256).to_pylist()):
-                    if row not in of:
-                        of[row] = len(packed)
-                        packed.append(x)
+            for part, packed in pieces(batch, "packed", SLICE_BYTES):
+                c, turn, row, typical = (part.column(part.schema.get_field_index(n)).to_numpy() for n in ("c", "turn", "row", "typical"))
                 sets = shingle_sets(Words([unpack(x) for x in packed], BLANK_WORD, lower=False), shingle)
-                for p, q in zip(a[s : s + 256], b[s : s + 256]):
-                    x, y = sets[of[p]], sets[of[q]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+                out: dict[str, list] = {n: [] for n in ("c", "row", "typical", "size", "c_size", "common", "leader", "x")}
+                for i, own in enumerate(sets):
+                    if turn[i] == 0:
+                        hub, leaders, inner, outer = own, [], 0, 0
+                        continue
+                    there, at = _overlap(hub, own)
+                    n = len(at)
+                    to = int(c[i]) if linked(n, hub, own) else None
+                    if to is not None:
+                        if inner < INNER:
+                            inner += 1
+                            leaders.append((int(row[i]), own))
+                    else:
+                        for who, other in leaders:
+                            if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)) and linked(len(_overlap(other, own)[1]), other, own):
+                                to = who
+                                break
+                        else:
+                            if outer < OUTER:
+                                outer += 1
+                                leaders.append((int(row[i]), own))
+                    x = None
+                    if n >= NEAR * (len(hub) + len(own) - n):
+                        gone = np.ones(len(hub), dtype=bool)
+                        gone[at] = False
+                        x = np.concatenate([own[~there], hub[gone]]).view(np.int64)
+                    for name, v in zip(out, (int(c[i]), int(row[i]), int(typical[i]), len(own), len(hub), n, to, x)):
+                        out[name].append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in list(out)[:-1]), pa.array(out["x"], pa.list_(pa.int64()))], names=list(out))
+
+    return stored(dealt.mapInArrow(scan, "c long, row long, typical long, size long, c_size long, common long, leader long, x array<long>"))
+
+
+def whole_sets(lists: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(c, row, size, x): whole sets of the nodes of lists that no level has resolved."""
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(scan, "a long, b long")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part, packed in pieces(batch, "packed", SLICE_BYTES):
+                sets = shingle_sets(Words([unpack(x) for x in packed], BLANK_WORD, lower=False), shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["c", "row", "size", "x"])
+
+    return lists.select("row", F.col("key").alias("c")).join(texts, "row").select("c", "row", "packed").mapInArrow(scan, "c long, row long, size long, x array<long>")
+
+
+def differing(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(level, c, row, size, n, label, probes, prefix, x) of the nodes of hubs with several components. n: values of x.
+
+    prefix: so many of a node's rarest values can hold the first one in common with a node that isn't linked to the hub;
+    probes: of such a node the same for its partners, else 0.
+    """
+    l = (100 - percent) / (100 + percent)
+    of = lambda name, c: labels.select(F.col("row").alias(c), F.col("label").alias(name))
+    z = found.filter("x is not null")
+    apart = z.filter("leader is null or leader != c").select("level", "c", "row").join(of("a", "row"), "row", "left").join(of("b", "c"), "c", "left")
+    apart = stored(apart.filter(F.coalesce("a", "row") != F.coalesce("b", "c")).select("level", "c", "row", F.lit(True).alias("outer")))
+    hubs = stored(apart.select("level", "c").distinct())
+    n = F.size("x").cast("long")
+    prefix = n - F.floor((n + l * (F.col("c_size") - F.col("size"))) / 2 - 1e-9)
+    probes = n - F.ceil((n - l * (F.col("c_size") + F.col("size"))) / (1 + l) - 1e-9) + 1
+    some = z.join(hubs, ["level", "c"], "left_semi").join(apart, ["level", "c", "row"], "left").join(of("label", "row"), "row", "left")
+    out = stored(some.select("level", "c", "row", "size", n.alias("n"), F.coalesce("label", "row").alias("label"), F.when(F.col("outer"), F.greatest(F.lit(1), F.least(n, probes))).otherwise(0).cast("long").alias("probes"), prefix.cast("long").alias("prefix"), "x"))
+    dropped(hubs, apart)
+    return out
+
+
+def likely_pairs(sides: DataFrame, percent: int) -> DataFrame:
+    """(level, c, a, b): pairs of different components of one hub that share a value of their prefixes and may share enough."""
+    l = (100 - percent) / (100 + percent)
+    posted = sides.select("level", "c", "row", "size", "n", "label", "probes", "prefix", F.explode("x").alias("value"))
+    key = ["level", "c", "value"]
+    often = stored(posted.groupBy(*key).agg(F.count(F.lit(1)).alias("often"), F.max("probes").alias("asked")).filter("often > 1"))
+    by_node = Window.partitionBy("level", "c", "row")
+    met = posted.join(often, key).withColumn("place", F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("often", "value")))
+    met = stored(met.filter("asked > 0 and place <= greatest(prefix, probes)").drop("asked", "often"))
+    names = ("row", "size", "n", "label", "place")
+    side = lambda s, limit: met.filter(F.col("place") <= F.col(limit)).select(*key, *(F.col(c).alias(f"{c}_{s}") for c in names))
+    a, b = side("a", "probes"), side("b", "prefix")
+    need = (F.col("n_a") + F.col("n_b") - l * (F.col("size_a") + F.col("size_b"))) / 2 - 1e-9
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    sizes = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    pairs = a.join(b, key).filter((F.col("label_a") != F.col("label_b")) & (rest >= need) & sizes)
+    out = stored(pairs.select("level", "c", F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct())
+    dropped(often, met)
+    return out
+
+
+def confirmed(pairs: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs whose full sets are similar enough, from what each differs in from its hub."""
+    of = lambda s: sides.select("level", "c", F.col("row").alias(s), F.col("size").alias(f"size_{s}"), F.col("x").alias(f"x_{s}"))
+    both = pairs.join(of("a"), ["level", "c", "a"]).join(of("b"), ["level", "c", "b"])
+    apart = F.col("size_a") + F.col("size_b")
+    # of n values in all, twice those in both are n less those in one only
+    twice = apart - (F.size("x_a") + F.size("x_b") - 2 * F.size(F.array_intersect("x_a", "x_b")))
+    return both.filter(100 * twice >= percent * (2 * apart - twice)).select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(row, label) of every linked node; label: the least node of its component. Contraction by least neighbours."""
-    edges, labels = stored(links.select("a", "b").distinct()), None
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(row, label) of every linked node; label: the least node of its component. Contraction by least neighbours.
+
+    With the labels of other links, those are joined by the links (and must cover their nodes that aren't single).
+    """
+
+    def mapped(edges: DataFrame, up: DataFrame) -> DataFrame:
+        at = lambda c: up.select(F.col("row").alias(c), F.col("label").alias(f"{c}_label"))
+        both = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        return both.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def further(up: DataFrame, name: str) -> DataFrame:
+        return up.select(F.col("row").alias("label"), F.col("label").alias(name))
+
+    edges = stored(mapped(links, labels) if labels is not None else links.select("a", "b").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stored(both.groupBy(F.col("a").alias("row")).agg(F.least(F.col("row"), F.min("b")).alias("label")))
-        while True:  # to the end of each chain
-            on = up.select(F.col("row").alias("label"), F.col("label").alias("further"))
-            jumped = stored(up.join(on, "label", "left").select("row", F.coalesce("further", "label").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
-            up = jumped.select("row", "label")
-            if jumped.filter("moved").isEmpty():
-                break
-        at = lambda c: up.select(F.col("row").alias(c), F.col("label").alias(f"{c}_label"))
-        edges = stored(edges.join(at("a"), "a").join(at("b"), "b").filter("a_label != b_label").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct())
+        moved = True
+        while moved:  # to the end of each chain, two steps at once
+            step = up.join(further(up, "x"), "label", "left").select("row", F.coalesce("x", "label").alias("label"))
+            jumped = stored(step.join(further(up, "x"), "label", "left").select("row", F.coalesce("x", "label").alias("label"), (F.col("x") < F.col("label")).alias("moved")))
+            dropped(up)
+            up, moved = jumped.select("row", "label"), not jumped.filter("moved").isEmpty()
+        fewer = stored(mapped(edges, up))
+        dropped(edges)
+        edges = fewer
         if labels is None:
             labels = up
         else:
-            on = up.select(F.col("row").alias("label"), F.col("label").alias("further"))
-            labels = labels.join(on, "label", "left").select("row", F.coalesce("further", "label").alias("label"))
-    return stored(labels if labels is not None else edges.select(F.col("a").alias("row"), F.col("b").alias("label")))
+            old = labels.join(further(up, "x"), "label", "left").select("row", F.coalesce("x", "label").alias("label"))
+            new = stored(old.unionByName(up.join(labels.select("row"), "row", "left_anti")))
+            dropped(labels, up)
+            labels = new
+    return labels if labels is not None else edges.select(F.col("a").alias("row"), F.col("b").alias("label"))
 
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """(id, n_shingles, component) of every row: its number of shingles, and the least id of its component."""
-    rows = stored(sketch(docs, doc_id, text, shingle))
-    nodes = stored(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("retained").alias("retained"), F.first("bits").alias("bits")))
-    lists = stored(posted_lists(nodes, percent))
-    named = stored(rows.select("id", "node", "size").join(nodes.select("node", F.col("row").alias("_row")), "node", "left").select("id", F.col("_row").alias("row"), F.col("size").cast("long").alias("n_shingles")))
-    ids = stored(rows.join(lists.select("row").distinct(), "row", "left_semi").select("row", "id", "node"))
-    dropped(rows, nodes)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        texts = stored(fetched(docs, ids, pairs, doc_id, text))
-        found = stored(confirmed(pairs, texts, shingle, percent))
-        dropped(pairs, texts)
-        return found
-
-    links = linked(hub_pairs(lists))
-    labels = components(links)
-    for most in (8, 64, 1 << 30):
-        found = list_pairs(lists, labels, most, percent)
-        fresh = linked(found.filter("value is null").select("a", "b"))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
-        left = found.filter("value is not null").select("value")
-        if left.isEmpty():
+    rows = stored(sketch(docs, doc_id, text, shingle, exact))
+    canon = stored(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")))
+    named = stored(rows.select("id", "node", "size").join(canon.withColumnRenamed("row", "_row"), "node", "left").select("id", F.col("_row").alias("row"), F.col("size").cast("long").alias("n_shingles")))
+    lists = posted_lists(rows.join(canon.select("row"), "row", "left_semi"), percent / 100 if exact else SHARED)
+    pairs = hub_pairs(lists)
+    nodes = stored(rows.join(pairs.select("row").unionByName(pairs.select(F.col("c").alias("row"))).distinct(), "row", "left_semi"))
+    dropped(rows, canon, lists)
+    texts = stored(fetched(docs, nodes, doc_id, text))
+    found: list[DataFrame] = []
+    apart = (1 - percent / 100) + NEAR  # a node linked to one under NEAR is under this
+    for level in range(LEVELS):
+        if level:
+            pairs = hub_pairs(lists)
+            dropped(lists)
+        tried = near_pairs(pairs, nodes, exact)
+        z = compared(tried.filter("near"), texts, shingle, percent)
+        found.append(z.withColumn("level", F.lit(level)))
+        again = z.filter(F.col("leader").isNull() | (F.col("common") < apart * (F.col("size") + F.col("c_size") - F.col("common"))))
+        far = tried.filter("not near")
+        lists = stored(_union(*(df.select(F.col("c").alias("key"), "row", F.col("size").cast("int").alias("size"), "typical") for df in (again, far))))
+        dropped(pairs, tried)
+        if lists.isEmpty():
             break
-        some = stored(lists.join(left, "value", "left_semi").select(*lists.columns))
-        dropped(lists)
-        lists = some
-    dropped(lists, ids)
+    z = _union(*found)
+    links = stored(z.filter("leader is not null").select(F.col("leader").alias("a"), F.col("row").alias("b")))
+    labels = components(links)
+    sides = [differing(z, labels, percent)]
+    dropped(*found, links)
+    if not lists.isEmpty():
+        n = F.col("size")
+        prefix = (n - F.ceil(percent / 100 * n - 1e-9) + 1).cast("long")
+        whole = whole_sets(lists, texts, shingle).join(labels, "row", "left")
+        sides.append(stored(whole.select(F.lit(LEVELS).alias("level"), "c", "row", "size", n.alias("n"), F.coalesce("label", "row").alias("label"), prefix.alias("probes"), prefix.alias("prefix"), "x")))
+    dropped(texts, nodes, lists)
+    both = _union(*sides)
+    likely = likely_pairs(both, percent)
+    fresh = stored(confirmed(likely, both, percent))
+    dropped(likely, *sides)
+    labels = components(fresh, labels)
+    dropped(fresh)
     full = stored(named.join(labels, "row", "left").select("id", "n_shingles", F.coalesce("label", "row").alias("label")))
-    dropped(named)
-    least = full.filter("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    dropped(named, labels)
+    least = stored(full.filter("label is not null").groupBy("label").agg(F.min("id").alias("component")))
     return full.join(least, "label", "left").select("id", "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
+def _union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group stays, the one of the least id, with its columns as they were; repeated ids stay together."""
     found = near_components(docs, doc_id=doc_id, text=text, **options)

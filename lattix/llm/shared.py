@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_dir, stored, table  # noqa: F401
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete tables that stored() wrote and that no later plan reads, and let Spark remove the shuffle files of finished plans."""
-    spark = SparkSession.active()
-    for df in frames:
-        for f in df.inputFiles()[:1]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if at.getName().startswith("lattix-"):
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
+from ..storage import dropped, shared_dir, stored, table  # noqa: F401
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

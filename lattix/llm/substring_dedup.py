@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import dropped, free_name, plus, stored, text_bytes
+from .shared import free_name, plus, stored, text_bytes
 from .words import BLANK_WORD, Words, covered, mix, pieces, window_hashes
 
 WINDOW = 20
@@ -206,7 +206,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     if clash := {c.lower() for c in docs.columns} & {n for n, _ in fields}:
         raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
     spans = stored(repeated_spans(docs, doc_id=doc_id, text=text, window=window))
-    dropped()  # the packed strings are used up
     marked = spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     held = free_name(docs, "_spans")
     right = marked.select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("spans").alias(held))

@@ -81,7 +81,7 @@ def test_chain_is_one_component(spark):
 
 
 def test_groups_of_copies_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
     r = random.Random(5)
     passage = [f"p{i}" for i in range(60)]
     texts = []
@@ -116,13 +116,59 @@ def test_stage_keeps_one_of_each_group(spark):
     assert near_dedup.keep_one(clash).columns == clash.columns
 
 
-@pytest.mark.parametrize("j", [0.8, 0.85])
-def test_both_filters_lose_few_pairs_at_the_limit(j):
+@pytest.mark.parametrize("j,most", [(0.8, 2e-7), (0.85, 2e-9)])
+def test_lists_lose_few_pairs_at_the_limit(j, most):
     """A text contained in the other, by the binomial distribution."""
+    n, least = near_dedup.INDEX, math.ceil(near_dedup.SHARED * near_dedup.INDEX)
+    assert sum(math.comb(n, i) * j**i * (1 - j) ** (n - i) for i in range(least)) < most
 
-    def below(n, k):
-        return sum(math.comb(n, i) * j**i * (1 - j) ** (n - i) for i in range(k))
 
-    lists = below(near_dedup.INDEX, math.ceil(near_dedup.SHARED * near_dedup.INDEX))
-    least = near_dedup.limit(10**9, 10**9 * j, round(100 * j))[1] * near_dedup.ESTIMATE
-    assert lists + below(near_dedup.ESTIMATE, math.ceil(least)) < 3e-6
+def edited(r, words, share):
+    """A copy of which each word is replaced, dropped or doubled with a probability."""
+    out = []
+    for w in words:
+        x = r.random()
+        out += [f"e{r.randrange(10**9)}"] if x < share / 2 else [] if x < share * 0.75 else [w, w] if x < share else [w]
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_edited_copies_around_the_limit(spark, exact):
+    """Families of copies, many of them just over or under the limit to the original, to each other or to a second family."""
+    r = random.Random(11)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(120)]
+        second = edited(r, base, 0.06)  # some 0.8 like the first
+        for k in range(60):
+            texts.append(" ".join(edited(r, base if k % 3 else second, r.choice([0.01, 0.02, 0.04, 0.06, 0.08]))))
+    r.shuffle(texts)
+    want = brute(list(enumerate(texts)))
+    assert len({x[2] for x in want}) > 20 and sum(not x[3] for x in want) > 60
+    assert run(frame(spark, texts).repartition(4), exact=exact) == want
+
+
+def test_texts_that_share_all_frequent_values(spark, monkeypatch):
+    """Lists of nodes that are unlike their hub go on to further levels and to prefixes of whole sets."""
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    r = random.Random(3)
+    common = [[f"c{k}x{i}" for i in range(6)] for k in range(8)]
+    texts = []
+    for _ in range(80):
+        w = [x for part in r.sample(common, 5) for x in part]
+        texts += [" ".join(w)] + [" ".join([*w, f"t{r.randrange(10**6)}"])] * (r.random() < 0.3)
+    assert run(frame(spark, texts).repartition(3)) == brute(list(enumerate(texts)))
+
+
+def test_no_row_for_each_pair(spark):
+    """A group's rows and links grow in proportion to it."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    made = {}
+    for n in (100, 300):
+        df = frame(spark, [" ".join(edited(r, base, 0.02 + 0.08 * (k % 2))) for k in range(n)])
+        nodes = near_dedup.sketch(df, "doc_id", "text", 3, False)
+        nodes = near_dedup.stored(nodes)
+        lists = near_dedup.posted_lists(nodes, near_dedup.SHARED)
+        made[n] = near_dedup.hub_pairs(lists, nodes, False).count()
+    assert made[300] < 6 * made[100]
