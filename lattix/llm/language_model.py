@@ -35,7 +35,7 @@ from .shared import stored, text_bytes
 from .words import LOWER, hash_slices, pieces
 
 VOCABULARY = 1000
-GROWTH = 16
+GROWTH = 4
 HIDDEN = 16
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -46,6 +46,7 @@ ROUND_TOKENS = 100_000  # of a learner, at least, for more than one round
 PIECE = 4096  # numbers of one parameter that are averaged together
 LEAST_STEPS = 400  # of training: a small corpus is gone through more often
 WINDOW = 32
+ROWS = 2048
 END = b" "  # no word is a blank
 
 
@@ -150,12 +151,32 @@ def _most(total: dict[bytes, int], k: int) -> list[tuple[bytes, int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; a sigmoid is a tanh of half the argument."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place, of each row less its largest value; that, and the rows' sums."""
+    most = x.max(axis=1, keepdims=True)
+    x -= most
+    np.exp(x, out=x)
+    return most[:, 0], x.sum(axis=1)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x /= _exp(x)[1][:, None]
+    return x
+
+
+def _log_chosen(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row in one of its columns; x is used up."""
+    own = x[np.arange(len(x)), column]
+    most, total = _exp(x)
+    return own - most - np.log(total)
 
 
 @dataclass
@@ -183,38 +204,43 @@ class Model:
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(y | h), by row."""
         c = self.class_of[y]
-        out = _log_softmax(h @ self.p["Wc"] + self.p["bc"])[np.arange(len(y)), c]
+        out = np.concatenate([_log_chosen(h[r : r + ROWS] @ self.p["Wc"] + self.p["bc"], c[r : r + ROWS]) for r in range(0, len(y), ROWS)]) if len(y) else np.zeros(0)
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(len(self.members) + 1))
         for k, ids in enumerate(self.members):
             if cut[k + 1] > cut[k] and len(ids) > 1:
                 rows = order[cut[k] : cut[k + 1]]
-                out[rows] += _log_softmax(h[rows] @ self.p["Wo"][ids].T + self.p["bo"][ids])[np.arange(len(rows)), self.place[y[rows]]]
+                of = slice(ids[0], ids[-1] + 1)  # a class is a run of ids
+                out[rows] += _log_chosen(h[rows] @ self.p["Wo"][of].T + self.p["bo"][of], self.place[y[rows]])
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each text's ids, which end with the end token; its state starts at 0 after an end token."""
         total = np.zeros(len(texts))
+        if not texts:
+            return total
         table = self.p["E"] @ self.p["Wx"] + self.p["b"]
-        order = np.argsort([-len(t) for t in texts], kind="stable")
+        sizes = np.array([len(t) for t in texts])
+        flat = np.concatenate(texts)
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
         start = self.words.get(END, self.other)
         for a in range(0, len(order), LANES):
             lanes = order[a : a + LANES]
-            length = np.array([len(texts[i]) for i in lanes])
-            ids = np.full((length[0], len(lanes)), start, dtype=np.int32)
-            for k, i in enumerate(lanes):
-                ids[: length[k], k] = texts[i]
+            length, at = sizes[lanes], begin[lanes]
             h = np.zeros((len(lanes), HIDDEN), dtype=np.float32)
             before = np.full(len(lanes), start)
             for s in range(0, length[0], WINDOW):
                 live = int(np.searchsorted(-length, -s, "left"))  # lanes are by length, longest first
-                y = ids[s : s + WINDOW, :live]
+                step = np.arange(s, min(s + WINDOW, length[0]))[:, None]
+                inside = step < length[None, :live]
+                y = np.where(inside, flat[np.minimum(at[:live] + step, len(flat) - 1)], start)  # of one window, however long the texts
                 h, states = h[:live], []
                 x = np.concatenate([before[None, :live], y[:-1]])
                 for t in range(len(y)):
                     states.append(h := self.step(table[x[t]], h))
                 before = y[-1]
-                inside = (np.arange(s, s + len(y))[:, None] < length[None, :live]).ravel()
+                inside = inside.ravel()
                 got = np.zeros(len(inside))
                 got[inside] = self.log_p(np.concatenate(states)[inside], y.ravel()[inside])
                 total[lanes[:live]] += got.reshape(y.shape).sum(axis=0)
@@ -250,10 +276,12 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
     m1, m2, turn = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
 
     def adam(name: str, v: np.ndarray, rows: slice | np.ndarray = slice(None)) -> None:
-        v = np.clip(v / lanes, -5, 5)
-        a, b = 0.9 * m1[name][rows] + 0.1 * v, 0.999 * m2[name][rows] + 0.001 * v * v
+        v = np.clip(v * np.float32(1 / lanes), np.float32(-5), np.float32(5))
+        a, b = m1[name][rows], m2[name][rows]
+        a = a + np.float32(0.1) * (v - a)
+        b = b + np.float32(0.001) * (v * v - b)
         m1[name][rows], m2[name][rows] = a, b
-        p[name][rows] -= (rate / (1 - 0.9**turn) * a / (np.sqrt(b / (1 - 0.999**turn)) + 1e-8)).astype(np.float32)
+        p[name][rows] -= np.float32(rate / (1 - 0.9**turn)) * a / (np.sqrt(b * np.float32(1 / (1 - 0.999**turn))) + np.float32(1e-8))
 
     for _ in range(epochs):
         h = np.zeros((lanes, k), dtype=np.float32)
@@ -280,18 +308,23 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 states.append(h)
             out, flat = np.concatenate(states), y.ravel()
             cls = model.class_of[flat]
-            d = np.exp(_log_softmax(out @ p["Wc"] + p["bc"]))
-            d[np.arange(len(flat)), cls] -= 1
-            dh_out = d @ p["Wc"].T
-            adam("Wc", out.T @ d)
-            adam("bc", d.sum(axis=0))
+            dh_out, by_class, by_bias = np.empty_like(out), np.zeros_like(p["Wc"]), np.zeros_like(p["bc"])
+            for r in range(0, len(flat), ROWS):  # blocks that stay in the processor's cache
+                some = out[r : r + ROWS]
+                d = _softmax(some @ p["Wc"] + p["bc"])
+                d[np.arange(len(some)), cls[r : r + ROWS]] -= 1
+                dh_out[r : r + ROWS] = d @ p["Wc"].T
+                by_class += some.T @ d
+                by_bias += d.sum(axis=0)
+            adam("Wc", by_class)
+            adam("bc", by_bias)
             order = np.argsort(cls, kind="stable")
             cut = np.searchsorted(cls[order], np.arange(len(model.members) + 1))
             for j, member in enumerate(model.members):
                 rows = order[cut[j] : cut[j + 1]]
                 if len(member) > 1 and len(rows):
                     of, some = slice(member[0], member[-1] + 1), out[rows]  # a class is a run of ids
-                    d = np.exp(_log_softmax(some @ p["Wo"][of].T + p["bo"][of]))
+                    d = _softmax(some @ p["Wo"][of].T + p["bo"][of])
                     d[np.arange(len(rows)), model.place[flat[rows]]] -= 1
                     dh_out[rows] += d @ p["Wo"][of]
                     adam("Wo", d.T @ some, of)
@@ -308,8 +341,8 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 hidden.append(du)
                 dh = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ p["U"].T)
             da, du = np.concatenate(gates[::-1]), np.concatenate(hidden[::-1])
-            by_word = np.zeros((len(met), 3 * k), dtype=np.float32)
-            np.add.at(by_word, at.ravel(), da)
+            order = np.argsort(at.ravel(), kind="stable")
+            by_word = np.add.reduceat(da[order], np.searchsorted(at.ravel()[order], np.arange(len(met))))
             emb, grad = p["E"][met], by_word @ p["Wx"].T
             adam("U", np.concatenate([x[0] for x in keep]).T @ du)
             adam("Wx", emb.T @ by_word)

@@ -55,7 +55,7 @@ SHARED = 0.4
 LEAST = 4  # of INDEX values of the union, in both
 NEAR = 0.5  # a node this similar to its hub is compared through what differs
 LEVELS = 3
-BLOCK = 4 << 20  # shingles of a hub's nodes in one block
+BLOCK = 1 << 16  # shingles of a hub's nodes in one block
 INNER, OUTER = 4, 12  # leaders of a block: nodes linked to the hub, and not
 SLICE_BYTES = 1 << 20
 _TOP = np.uint64(1 << 63)  # signed order of flipped values is their order as hashes

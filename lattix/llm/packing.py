@@ -6,11 +6,14 @@ other set with their largest size are fixed, as often as the counts allow; then
 The solution is a list of patterns with multiplicities; each piece finds its place from its rank among pieces of its size.
 
 Documents are tokenized once; pieces (without text) are kept in the shared folder. Ranks are counted within (size, salt)
-cells, whose counts go to the driver (at most capacity x ``SALTS``), so that one frequent size is many groups.
+cells, whose counts go to the driver (at most capacity x 1024), so that one frequent size is many groups. Pieces of the
+whole capacity, the commonest size, are sequences of their own and need no rank.
 
 Defined cases. Null or empty text: only the end id, a piece of length 1. A longer document than the capacity is cut in
-pieces of the capacity; the last may be shorter. Repeated rows are packed each. Empty table: no rows. Rows with equal
-(doc_id, piece, crc) may take each other's places.
+pieces of the capacity; the last may be shorter. Very long texts are tokenized whole, one at a time. Repeated rows are
+packed each. Ties between sets of equal rooms go to the one opened last. Empty table: no rows. Rows with equal
+(doc_id, piece, crc) may take each other's places. Other columns are not read; a document id called like a result's
+column raises ValueError.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +34,25 @@ from .shared import plus, stored
 from .words import LOWER, pieces
 
 CAPACITY = 2048
-SALTS = 64
-CACHE_WORDS = 400_000
-KEEP_WORDS = 200_000  # the first seen, so mostly the frequent ones, when the cache is full
-ENCODE_WORDS = 4096
+CELL_ROWS = 1 << 22  # a cell's rows on average over all lengths; the number of salts follows from it
+SALTS = (64, 1024)  # at least and at most
+CACHE_WORDS = 200_000
+CACHE_BYTES = 8 << 20  # of the words in the cache
+ENCODE_WORDS = 2048
 END_ID = 0
 
 
 #: After a letter this tokenizer always divides before these.
 _TAIL = b".,;:!?|)"
-_LETTER_END = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])\Z")
+#: Lower-case letters that the tokenizer's normalization leaves as they are and that are one run for it.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte as itself and the n-th of the others as the letter 256 + n."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class _Places(dict):
@@ -69,6 +81,7 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
         self.clear()
 
     @classmethod
@@ -80,44 +93,48 @@ class WordTokenizer:
     def clear(self) -> None:
         self.place = _Places()
         self.place[b" "] = 0  # a blank stands for the end of a text
+        self.bytes = 1
         self.size, self.begin, self.ids = np.array([1], dtype=np.int32), np.array([0], dtype=np.int32), np.array([END_ID], dtype="<u4")
 
     def shrink(self) -> None:
-        """Forget all but the words first seen."""
-        kept = _Places()
-        kept.update(islice(self.place.items(), KEEP_WORDS))
-        self.place, self.size, self.begin = kept, self.size[: len(kept)].copy(), self.begin[: len(kept)].copy()
+        """Forget all but the words first seen, which are mostly the frequent ones: half of what the cache holds."""
+        kept, held = _Places(), 0
+        for w in islice(self.place, CACHE_WORDS // 2):
+            held += len(w)
+            if held > CACHE_BYTES // 2 and kept:
+                break
+            kept[w] = len(kept)
+        self.place, self.bytes, self.size, self.begin = kept, held, self.size[: len(kept)].copy(), self.begin[: len(kept)].copy()
         self.ids = self.ids[: int(self.begin[-1] + self.size[-1])].copy()
 
     def learn(self) -> None:
-        """Encode the fresh words; a word with a tail of punctuation has the ids of both parts."""
-        place, known = self.place, len(self.size)
-        words, place.fresh = place.fresh, []
-        parts = []
+        """Encode the fresh words. Letters go to the model as they are, a tail of punctuation has ids of its own; other words go through the tokenizer."""
+        words, self.place.fresh = self.place.fresh, []
+        model, letters, tails = self.tokenizer.model, self.letters, {b"": []}
+        ids: list[list[int] | None] = []
         for w in words:
             core = w.rstrip(_TAIL)
-            parts.append((core, w[len(core) :]) if len(core) < len(w) and _LETTER_END.search(core) else (w,))
-        plain = list(dict.fromkeys(x for p in parts for x in p if place.get(x, known) >= known))
-        own: dict[bytes, list[int]] = {}
-        for k in range(0, len(plain), ENCODE_WORDS):  # an encoding is many times its ids
-            some = plain[k : k + ENCODE_WORDS]
-            own.update(zip(some, [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)]))
-        for x in {x for p in parts for x in p}.difference(own):
-            own[x] = self.ids[self.begin[place[x]] :][: self.size[place[x]]].tolist()
-        for x in plain:
-            if x not in place:
-                place[x] = len(place)
-                words.append(x)
-                parts.append((x,))
-        ids = [own[p[0]] if len(p) == 1 else own[p[0]] + own[p[1]] for p in parts]
+            if _LETTERS.match(core):
+                tail = w[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+                ids.append([x.id for x in model.tokenize(core.decode("latin-1").translate(letters))] + tails[tail])
+            else:
+                ids.append(None)
+        other = [i for i, x in enumerate(ids) if x is None]
+        for k in range(0, len(other), ENCODE_WORDS):  # an encoding is many times its ids
+            some = other[k : k + ENCODE_WORDS]
+            for i, x in zip(some, self.tokenizer.encode_batch([words[i].decode() for i in some], add_special_tokens=False)):
+                ids[i] = x.ids
+        self.bytes += sum(map(len, words))
         size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         self.begin = np.concatenate([self.begin, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype="<u4")])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(size.sum()))])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and where each text's begin (one more at the end)."""
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > CACHE_WORDS or self.bytes > CACHE_BYTES:
             self.shrink()
         get, flat, last = self.place.__getitem__, [], []
         for t in texts:
@@ -136,6 +153,8 @@ class WordTokenizer:
 def tokenize(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece."""
     kept = [(doc_id, docs.schema[doc_id].dataType)]
+    if doc_id.lower() in {"piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_salt", "_rank"}:
+        raise ValueError(f"a document id called {doc_id} would clash with the result's columns")
     schema = plus(T.StructType([T.StructField(n, t) for n, t in kept]), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +172,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", te
                         crc.append(zlib.crc32(cut.tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(doc_id)).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(scan, schema)
+    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(scan, schema)
 
 
 Pattern = tuple[tuple[int, ...], int]
@@ -270,14 +289,15 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     cut = stored(tokenize(docs, tokenizer_path, doc_id=doc_id, text=text, capacity=capacity))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc_id), "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "_salt").count().collect()
-    grid = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for r in cells:
-        grid[r["length"], r["_salt"]] = r["count"]
+    salts = int(np.clip(cut.count() // CELL_ROWS, *SALTS))
+    part = cut.filter(F.col("length") < capacity)
+    salted = part.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    cells = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    grid = np.zeros((capacity + 1, salts), dtype=np.int64)
+    grid[cells["length"].to_numpy(), cells["_salt"].to_numpy()] = cells["n"].to_numpy()
     before = np.cumsum(grid, axis=1) - grid
     shared = spark.sparkContext.broadcast((before, places(pack_counts(grid.sum(axis=1)), capacity)))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(doc_id, "piece", "ids_crc32")).cast("long"))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(F.col(f"`{doc_id}`"), "piece", "ids_crc32")).cast("long"))
     names = cut.columns
     schema = plus(cut.schema, ("sequence_id", T.LongType()), ("offset", T.LongType()))
 
@@ -289,4 +309,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text:
             run = np.searchsorted(key, own, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(seq[run] + own - key[run]), pa.array(offset[run])], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    # a piece of the whole capacity is a sequence; such sequences have numbers under 0
+    full = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return ranked.mapInArrow(place, schema).unionByName(full)

@@ -6,15 +6,19 @@ Equal windows have equal minimisers, so each bucket sees all occurrences of its
 equal ones on their bytes and finds the first by (document id, start). Every other occurrence marks the words it covers.
 
 What travels is packed once per scan batch and bucket: equal strings of one batch are one string with its occurrences, so
-that copies weigh little, and the rest is compressed. A bucket is sized by ``BUCKET_BYTES`` of packed words. A minimiser
-never brings more to a bucket than the distinct strings of each scan batch.
+that copies weigh little, and the rest is compressed. A bucket is sized by ``BUCKET_BYTES`` of packed words. Any order of
+the runs gives the same result, so runs that would bring over ``HOT_BYTES`` to their bucket come last in it and are minimisers
+only of windows that consist of such runs, whose strings are repeats themselves. They are found in a hashed sample of the
+texts (a 64th, at least ``SAMPLE_BYTES``), which decides on balance alone.
 
 Texts are scanned twice: once for the windows, once to remove words, when the marked intervals of a document, kept in the
 shared folder, are joined to its row by (id, hash of the text).
 
-Defined cases. Null or empty text: no words, nothing removed. A text of fewer words than the window is kept whole. Rows of
-one document id are one document in which starts are compared; of repeated equal rows none is earlier, so all are treated
-alike. A null id comes after all others.
+Defined cases. Null or empty text: no words, nothing removed. A text of fewer words than the window is kept whole. Very long
+texts are scanned whole, one at a time; their strings go to many buckets. Rows of one document id are one document in which
+starts are compared; of repeated equal rows none is earlier, so all are treated alike (a tie). Ids are whole numbers or
+strings of such; a null id comes after all others. Empty table: no rows. Other columns stay as they are; one called like a
+result's column raises ValueError, and ``prefix`` renames those.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, plus, stored, text_bytes
+from .shared import dropped, free_name, plus, stored, text_bytes
 from .words import BLANK_WORD, Words, covered, mix, pieces, window_hashes
 
 WINDOW = 20
@@ -38,6 +42,9 @@ MOST_WINDOWS = 64  # of one packed string
 BUCKET_BYTES = 6 << 20
 BATCH_BYTES = 4 << 20
 LEVEL = 6  # of compression
+HOT_BYTES = 32 << 20
+SAMPLE_BYTES = 8 << 20
+MOST_HOT = 1 << 20
 
 
 def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -49,12 +56,37 @@ def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return h if width == n else np.minimum(h[: len(h) - (n - width)], h[n - width :])
 
 
-def super_kmers(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, windows and minimiser of each string; windows don't cross texts."""
-    m = min(MINIMISER, window)
+def _runs(w: Words, window: int) -> np.ndarray:
+    return mix(window_hashes(w.hashes(), min(MINIMISER, window)))
+
+
+def hot_runs(texts: DataFrame, window: int, size: int) -> np.ndarray:
+    """Sorted hashes of runs so frequent that a bucket of their strings would be too large; by a sample, at most ``MOST_HOT``."""
+    parts = max(1, min(64, size // max(1, SAMPLE_BYTES)))
+    least = max(8, HOT_BYTES // (2 * window * 6) // parts)  # a string has up to two windows' words
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, some in pieces(batch, "text", BATCH_BYTES):
+                run, n = np.unique(_runs(Words(some, BLANK_WORD, lower=False), window), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], names=["run", "n"])
+
+    some = texts.filter(F.pmod(F.col("key"), F.lit(parts)) == 0).select("text").mapInArrow(scan, "run long, n long")
+    found = stored(some.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "run").limit(MOST_HOT))
+    out = np.sort(found.select("run").toArrow()["run"].to_numpy().view(np.uint64))
+    dropped(found)
+    return out
+
+
+def super_kmers(w: Words, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, windows and minimiser of each string; windows don't cross texts, runs of ``hot`` (sorted) come last."""
     if w.n < window:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
-    least = _sliding_min(mix(window_hashes(w.hashes(), m)), window - m + 1)
+    runs = _runs(w, window)
+    order = runs >> np.uint64(1)
+    if len(hot):
+        order |= (hot[np.minimum(np.searchsorted(hot, runs), len(hot) - 1)] == runs).astype(np.uint64) << np.uint64(63)
+    least = _sliding_min(order, window - min(MINIMISER, window) + 1)
     text_of = w.text_of_word()
     inside = text_of[: len(least)] == text_of[window - 1 :]
     at = np.flatnonzero(inside)
@@ -71,16 +103,17 @@ def super_kmers(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first, count, np.repeat(least[at[head]], more)
 
 
-def _send(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def _send(docs: DataFrame, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Per scan batch and bucket: packed strings, and of each its occurrences (id or null, text hash, first word)."""
     schema = "bucket int, strings binary, places binary"
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             for part, texts in pieces(batch, "text", BATCH_BYTES):
                 w = Words(texts, BLANK_WORD, lower=False)
-                first, count, least = super_kmers(w, window)
+                first, count, least = super_kmers(w, window, shared.value)
                 if not len(first):
                     continue
                 text_of = np.searchsorted(w.first, first, "right") - 1
@@ -189,7 +222,8 @@ _SPAN = np.dtype([("null", "?"), ("id", "<i8"), ("text", "<i8"), ("start", "<i8"
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, text_hash, start, end): word intervals to remove; they may overlap. Ids are whole numbers."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text")).filter("text is not null")
-    buckets = max(8, -(-3 * text_bytes(source, "text") // BUCKET_BYTES))
+    size = text_bytes(source, "text")
+    buckets = max(8, -(-3 * size // BUCKET_BYTES))
 
     def merge(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -197,7 +231,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         found = repeats(strings, [np.frombuffer(unpack(x), dtype=_PLACE) for x in group.column("places").to_pylist()], window)
         return pa.table({"id": pa.array(found["id"], mask=found["null"]), "text_hash": pa.array(found["text"]), "start": pa.array(found["start"]), "end": pa.array(found["end"])})
 
-    return _send(source, window, buckets).groupBy("bucket").applyInArrow(merge, "id long, text_hash long, start long, end long")
+    return _send(source, window, buckets, hot_runs(source, window, size)).groupBy("bucket").applyInArrow(merge, "id long, text_hash long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: str = "") -> DataFrame:

@@ -59,7 +59,6 @@ def test_long_and_repeated_rows(spark):
 
 def test_tokenizer_forgets_and_still_agrees(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 40)
-    monkeypatch.setattr(packing, "KEEP_WORDS", 10)
     monkeypatch.setattr(packing, "ENCODE_WORDS", 7)
     t = packing.WordTokenizer(PATH)
     r = random.Random(1)
