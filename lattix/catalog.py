@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_sql, tables
+from . import catalog_files, catalog_sql, tables
 from .functions.scalars import code_of, softmax
 from .graph import Graph
 from .operators import aggregates, neighbourhood, ordering, projection, sets
@@ -91,8 +91,10 @@ on_copurchase("round_robin_hosts", lambda g: aggregates.round_robin_hosts(aggreg
 
 
 def _sales(g: Graph) -> Graph:
-    edge = F.col("type").isin("PURCHASE", "SALE") & (F.col("topic") == 13) & (F.col("amount") > 0) & F.col("dst_type").isin("CUSTOMER", "SUPPLIER")
-    return projection.project(g, projection.Projection(F.lit(True), edge, map_edges=lambda e: e.select("src", "dst", "type", "amount"), keep_edgeless=False))
+    """Suppliers and customers are people, but for every fifth, who is a firm."""
+    kind = lambda c: F.when(F.col(c) % 5 == 0, "FIRM").otherwise("PERSON")
+    people = Graph(g.vertices.withColumn("type", kind("id")), g.edges.withColumn("src_type", kind("src")).withColumn("dst_type", kind("dst")))
+    return projection.project(people, projection.sales_projection(topic=13))
 
 
 on_trade("project_sales", lambda g: _sales(g).edges)
@@ -151,6 +153,7 @@ on_copurchase("edge_probe", lambda g: sets.edge_probe(g.edges.select(F.col("dst"
 # ---- traversal
 
 on_copurchase("bfs_levels", lambda g: traversal.bfs(g.edges, [0]).select("id", "distance"))
+on_copurchase("bfs_push_pull", lambda g: traversal.bfs_push_pull(g.vertices, g.edges, 0))
 on_copurchase("bfs_multi_source", lambda g: traversal.bfs(g.edges, [0, 1, 2, 3]))
 
 
@@ -200,7 +203,7 @@ def influence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.trade(spark, sf_dir)
     edges, trade, weighted = _weighted(g)
     found = influence.influential_nodes(influence.reachable_sets(g.vertices, weighted, catalog_sql.SETS), catalog_sql.PICKS)
-    return influence.report(found.picks, edges, trade, weighted)
+    return influence.report(found.picks, edges, trade, weighted).withColumn("influence", F.round("influence", 6))
 
 
 # ---- reasoning
@@ -214,26 +217,26 @@ def _reasoning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[i
 @query
 def transe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, of = _reasoning(spark, sf_dir)
-    return reasoning.best_tails(rows.filter("label = 1"), of(0), of(207))
+    return reasoning.best_tails(rows, of(0), of(207))
 
 
 @query
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, of = _reasoning(spark, sf_dir)
-    return reasoning.reranked(reasoning.best_tails(rows.filter("label = 1"), of(0), of(207)), rows, of(1), of(3))
+    return reasoning.reranked(reasoning.best_tails(rows, of(0), of(207)), rows, of(1), of(3))
 
 
 @query
 def reasoning_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, of = _reasoning(spark, sf_dir)
     relations = {"award-winner": of(207), "works-in": of(3), "affiliated-with": of(40)}
-    return reasoning.reasoning_chain(rows.filter("label = 1"), rows.filter("label = 2"), relations, award=of(0), field=of(1))
+    return reasoning.reasoning_chain(rows.filter("label <> 2"), rows.filter("label = 2"), relations, award=of(0), field=of(1))
 
 
 @query
 def beam_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, edges = tables.knowledge(spark, sf_dir)
-    return _joined(reasoning.beam_paths(edges, rows, 0, 104, most_vertices=4, k=10, beam=3), "path")
+    return _joined(reasoning.beam_paths(edges, rows, 0, 104, most_vertices=catalog_sql.PATH_VERTICES, k=10, beam=3), "path")
 
 
 @query
@@ -253,15 +256,14 @@ def two_hop_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_trade("split_masks", lambda g: features.split_masks(g.vertices))
 on_trade("minibatches", lambda g: features.minibatches(features.split_masks(g.vertices).filter("split = 'train'"), 2))
-on_copurchase("neighbor_samples", lambda g: features.sampled_edges(g.vertices.filter("id < 20").select((F.col("id") % 4).alias("batch"), "id"), g.edges))
+on_copurchase("neighbor_samples", lambda g: features.sampled_edges(g.vertices.select((F.col("id") % 64).alias("batch"), "id"), g.edges))
 on_copurchase("ego_graphs", lambda g: features.ego_graphs(g.vertices, g.edges))
 
 
 @query
 def softmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = tables.knowledge(spark, sf_dir)
-    p = softmax(F.slice("features", 1, 8))
-    return rows.select("id", p.alias("p")).select("id", F.round(F.element_at("p", 1), 6).alias("first"), F.round(F.element_at("p", 8), 6).alias("last"))
+    return rows.select("id", F.posexplode(softmax(F.col("features"))).alias("place", "p")).select("id", "place", F.round("p", 6).alias("p"))
 
 
 @query
@@ -296,4 +298,5 @@ def random_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.random_updates(20_000, 1024, spark)
 
 
-ORACLE_SQL: dict[str, str] = {k: v for k, v in catalog_sql.ORACLE_SQL.items() if k in QUERIES}
+QUERIES |= catalog_files.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in catalog_sql.ORACLE_SQL.items() if k in QUERIES} | catalog_files.ORACLE_SQL

@@ -61,15 +61,28 @@ p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM tv),
 n AS (SELECT count(*) AS n FROM p),
 s AS (SELECT i AS set_id, id FROM range(0, {{sets}}) x(i) JOIN p ON p.place = {coin("i", "0", "0")} % (SELECT n FROM n)
   UNION SELECT s.set_id, w.dst FROM s JOIN w ON w.src = s.id WHERE {coin("s.set_id", "w.src", "w.dst")} <= w.weight * {float(MODULUS)})"""
-SETS, PICKS = 150, 4
+SETS, PICKS = 1000, 5  # the reference's default run
+PATH_VERTICES = 8
 
 
-def _greedy() -> str:
+def _greedy(final: str | None = None) -> str:
     out = [_SETS.format(sets=SETS), "s0 AS (SELECT * FROM s)"]
     for k in range(PICKS):
         out.append(f"c{k} AS (SELECT {k} AS rank, id, count(*) AS frequency FROM s{k} GROUP BY id ORDER BY frequency DESC, id LIMIT 1)")
         out.append(f"s{k + 1} AS (SELECT * FROM s{k} WHERE set_id NOT IN (SELECT set_id FROM s{k} WHERE id IN (SELECT id FROM c{k})))")
-    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT rank, id, frequency, (SELECT count(DISTINCT set_id) FROM s{PICKS - 1}) AS uninfluenced FROM c{k}" for k in range(PICKS))
+    picks = " UNION ALL ".join(f"SELECT rank, id, frequency, (SELECT count(DISTINCT set_id) FROM s{PICKS - 1}) AS uninfluenced FROM c{k}" for k in range(PICKS))
+    return ",\n".join(out) + (f",\npicks AS ({picks})\n{final}" if final else "\n" + picks)
+
+
+_REPORT = """SELECT rank, picks.id, frequency, coalesce(degree, 0) AS degree, bought, sold, round(coalesce(influence, 0.0), 6) AS influence
+FROM picks LEFT JOIN tr USING (id) LEFT JOIN (SELECT src AS id, count(*) AS degree, CAST(sum(CAST(weight AS DECIMAL(20, 12))) AS DOUBLE) AS influence FROM w GROUP BY 1) d USING (id)"""
+
+#: largest first, each to the least loaded host, the least number among equals; the loads are the state.
+_BALANCE = f"""WITH RECURSIVE {EDGES}, c AS (SELECT CAST(src % 64 AS INTEGER) AS vhost, count(*) AS edges FROM e GROUP BY 1),
+o AS (SELECT vhost, edges, row_number() OVER (ORDER BY edges DESC, vhost) AS k FROM c),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS vhost, CAST(NULL AS BIGINT) AS edges, CAST(NULL AS INTEGER) AS host, [CAST(0 AS BIGINT) FOR x IN range(8)] AS load
+  UNION ALL SELECT o.k, o.vhost, o.edges, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), [load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN o.edges ELSE 0 END FOR i IN range(1, 9)] FROM g JOIN o ON o.k = g.k + 1)
+SELECT vhost, edges, host FROM g WHERE k > 0"""
 
 
 def _features() -> str:
@@ -82,14 +95,21 @@ g AS (SELECT ce.src, {", ".join(f"sum(c{k})::BIGINT AS s{k}" for k in range(15))
 SELECT f.id, concat_ws(' ', {", ".join([f"c{k}" for k in range(15)] + [f"c{k} + coalesce(s{k - 15}, 0)" for k in range(15, 30)])}) AS features FROM f LEFT JOIN g ON g.src = f.id"""
 
 
-def _samples() -> str:
-    """Two levels of hashed neighbour samples around twenty parts."""
-    out = [f"WITH {EDGES}", "f0 AS (SELECT id % 4 AS batch, id AS src FROM v WHERE id < 20)"]
-    for level, n in enumerate((3, 2, 1)):
+def _sampled(seeds: str, fanouts: tuple[int, ...]) -> str:
+    """Hashed neighbour samples t0, t1, ... (batch, level, src, dst), level by level from the rows (batch, src) of seeds."""
+    out = [f"WITH {EDGES}", f"f0 AS ({seeds})"]
+    for level, n in enumerate(fanouts):
         out.append(f"t{level} AS (SELECT batch, {level} AS level, src, dst FROM f{level} JOIN e USING (src) QUALIFY row_number() OVER (PARTITION BY batch, src ORDER BY {coin(str(level + 1), 'src', 'dst')}, dst) <= {n})")
         seen = " UNION ALL ".join(f"SELECT batch, src FROM f{k}" for k in range(level + 1))
-        out.append(f"f{level + 1} AS (SELECT DISTINCT batch, dst AS src FROM t{level} WHERE (batch, dst) NOT IN (SELECT (batch, src) FROM ({seen})))")
-    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(3))
+        out.append(f"f{level + 1} AS (SELECT DISTINCT batch, dst AS src FROM t{level} ANTI JOIN ({seen}) s ON s.batch = t{level}.batch AND s.src = t{level}.dst)")
+    return ",\n".join([*out, "taken AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(len(fanouts))) + ")"])
+
+
+_SAMPLES = _sampled("SELECT id % 64 AS batch, id AS src FROM v", (3, 2, 1)) + "\nSELECT * FROM taken"
+_EGO = (
+    _sampled("SELECT id AS batch, id AS src FROM v QUALIFY row_number() OVER (ORDER BY id) - 1 < count(*) OVER () // 4", (5, 3, 2, 1))
+    + "\nSELECT batch AS root, src, dst FROM taken UNION SELECT batch, dst, src FROM taken UNION SELECT batch, src, src FROM taken UNION SELECT batch, dst, dst FROM taken UNION SELECT batch, src, src FROM f0"
+)
 
 
 def _beam(most: int, beam: int, k: int) -> str:
@@ -129,8 +149,8 @@ ORACLE_SQL = {
     "virtual_host_counts": f"WITH {EDGES} SELECT CAST(src % 64 AS INTEGER) AS vhost, count(*) AS edges FROM e GROUP BY 1",
     "round_robin_hosts": f"WITH {EDGES}, c AS (SELECT CAST(src % 64 AS INTEGER) AS vhost, count(*) AS edges FROM e GROUP BY 1) SELECT vhost, edges, CAST((row_number() OVER (ORDER BY edges, vhost) - 1) % 8 AS INTEGER) AS host FROM c",
     "accumulator": "SELECT CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem",
-    "project_sales": f"WITH {TRADE} SELECT src, dst, type, amount FROM t WHERE topic = 13 AND amount > 0 AND dst_type IN ('CUSTOMER', 'SUPPLIER')",
-    "project_drop_edgeless": f"WITH {TRADE} SELECT id, type FROM tv WHERE id IN (SELECT src FROM t WHERE topic = 13 AND amount > 0)",
+    "project_sales": f"WITH {TRADE} SELECT src, dst, type, amount FROM t WHERE topic = 13 AND amount > 0 AND src % 5 <> 0 AND dst % 5 <> 0",
+    "project_drop_edgeless": f"WITH {TRADE} SELECT id, 'PERSON' AS type FROM tv WHERE id IN (SELECT src FROM t WHERE topic = 13 AND amount > 0 AND src % 5 <> 0 AND dst % 5 <> 0)",
     "project_relations": f"WITH {KNOWLEDGE} SELECT src, dst, CAST(type AS BIGINT) AS type, mirror FROM ke WHERE type IN (207, 40)",
     "entity_label": f"WITH {KNOWLEDGE}, s AS (SELECT src AS id, bool_or(type = 207 AND NOT mirror) AS p, bool_or(type = 40 AND mirror) AS u FROM ke GROUP BY 1) SELECT k.id, CASE WHEN p THEN 'PERSON' WHEN u THEN 'UNIVERSITY' ELSE 'NONE' END AS entity FROM k LEFT JOIN s USING (id)",
     "prefix_sum": "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running FROM orders",
@@ -145,6 +165,7 @@ ORACLE_SQL = {
     "common_neighbors": f"WITH {EDGES} SELECT x.src AS a, x.dst AS b, count(y.dst) AS common FROM e x LEFT JOIN (e y JOIN e z ON y.dst = z.dst) ON y.src = x.src AND z.src = x.dst WHERE x.src IN (SELECT src FROM e) AND x.dst IN (SELECT src FROM e) GROUP BY 1, 2",
     "edge_probe": f"WITH {EDGES}, q AS (SELECT DISTINCT dst AS src, dst + 1 AS dst FROM e) SELECT q.src, q.dst, e.src IS NOT NULL AS connected FROM q LEFT JOIN e ON e.src = q.src AND e.dst = q.dst",
     "bfs_levels": f"{BFS.format(n=1)} SELECT id, distance FROM dist",
+    "bfs_push_pull": f"{BFS.format(n=1)} SELECT id, distance FROM dist",
     "bfs_multi_source": f"{BFS.format(n=4)} SELECT source, id, distance FROM dist",
     "bfs_unreached": f"{BFS.format(n=1)} SELECT v.id, dist.distance FROM v LEFT JOIN dist ON dist.id = v.id",
     "bfs_edges_traversed": f"{BFS.format(n=1)}, o AS (SELECT src, count(*) AS n FROM e GROUP BY 1) SELECT source, distance AS level, count(*) AS frontier, CAST(coalesce(sum(n), 0) AS BIGINT) AS edges FROM dist LEFT JOIN o ON src = id GROUP BY 1, 2",
@@ -156,15 +177,18 @@ ORACLE_SQL = {
     "rrr_sets": f"{_SETS.format(sets=SETS)} SELECT set_id, id FROM s",
     "vertex_frequency": f"{_SETS.format(sets=SETS)} SELECT id, count(*) AS frequency FROM s GROUP BY 1",
     "influential_nodes": _greedy(),
-    "transe_topk": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207) SELECT k.id, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r WHERE label = 1 ORDER BY score DESC, id LIMIT 50",
-    "rerank": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207), c AS (SELECT k.id, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r WHERE label = 1 ORDER BY score DESC, id LIMIT 50), h2 AS (SELECT f FROM k WHERE id = 1), r2 AS (SELECT f FROM k WHERE id = 3) SELECT k.id, {_score('h2.f', 'r2.f', 'k.f')} AS score FROM k, h2, r2 WHERE id IN (SELECT id FROM c)",
-    "reasoning_chain": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207), c AS (SELECT k.id, k.f, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r WHERE label = 1 ORDER BY score DESC, id LIMIT 50), h2 AS (SELECT f FROM k WHERE id = 1), r2 AS (SELECT f FROM k WHERE id = 3), r3 AS (SELECT f FROM k WHERE id = 40), p AS (SELECT c.id AS person, {_score('h2.f', 'r2.f', 'c.f')} AS person_score FROM c, h2, r2), u AS (SELECT c.id AS person, k.id AS place, {_score('c.f', 'r3.f', 'k.f')} AS place_score FROM c, r3, k WHERE k.label = 2 QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY place_score DESC, k.id) = 1) SELECT person, person_score, place, place_score FROM p JOIN u USING (person)",
-    "beam_paths": _beam(4, 3, 10),
+    "transe_topk": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207) SELECT k.id, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r ORDER BY score DESC, id LIMIT 50",
+    "rerank": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207), c AS (SELECT k.id, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r ORDER BY score DESC, id LIMIT 50), h2 AS (SELECT f FROM k WHERE id = 1), r2 AS (SELECT f FROM k WHERE id = 3) SELECT k.id, {_score('h2.f', 'r2.f', 'k.f')} AS score FROM k, h2, r2 WHERE id IN (SELECT id FROM c)",
+    "reasoning_chain": f"WITH {KNOWLEDGE}, h AS (SELECT f FROM k WHERE id = 0), r AS (SELECT f FROM k WHERE id = 207), c AS (SELECT k.id, k.f, {_score('h.f', 'r.f', 'k.f')} AS score FROM k, h, r WHERE label <> 2 ORDER BY score DESC, id LIMIT 50), h2 AS (SELECT f FROM k WHERE id = 1), r2 AS (SELECT f FROM k WHERE id = 3), r3 AS (SELECT f FROM k WHERE id = 40), p AS (SELECT c.id AS person, {_score('h2.f', 'r2.f', 'c.f')} AS person_score FROM c, h2, r2), u AS (SELECT c.id AS person, k.id AS place, {_score('c.f', 'r3.f', 'k.f')} AS place_score FROM c, r3, k WHERE k.label = 2 QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY place_score DESC, k.id) = 1) SELECT person, person_score, place, place_score FROM p JOIN u USING (person)",
+    "beam_paths": _beam(PATH_VERTICES, 3, 10),
     "two_hop_features": _features(),
     "split_masks": f"WITH {TRADE}, {_PLACED} SELECT id, place, split FROM sp",
     "minibatches": f"WITH {TRADE}, {_PLACED} SELECT id, (row_number() OVER (ORDER BY {coin('2', 'id', '1')}, id) - 1) // 128 AS batch FROM sp WHERE split = 'train'",
-    "neighbor_samples": _samples(),
-    "softmax_rows": f"WITH {KNOWLEDGE}, m AS (SELECT id, f[1:8] AS f, list_max(f[1:8]) AS top FROM k) SELECT id, round(exp(CAST(f[1] AS DOUBLE) - top) / list_sum(list_transform(f, lambda x: exp(CAST(x AS DOUBLE) - top))), 6) AS first, round(exp(CAST(f[8] AS DOUBLE) - top) / list_sum(list_transform(f, lambda x: exp(CAST(x AS DOUBLE) - top))), 6) AS last FROM m",
+    "neighbor_samples": _SAMPLES,
+    "ego_graphs": _EGO,
+    "edge_balance": _BALANCE,
+    "influence_report": _greedy(_REPORT),
+    "softmax_rows": f"WITH {KNOWLEDGE}, x AS (SELECT id, [exp(CAST(y AS DOUBLE) - list_max(f)) FOR y IN f] AS e FROM k) SELECT id, CAST(i - 1 AS INTEGER) AS place, round(e[i] / list_sum(e), 6) AS p FROM x, range(1, 65) r(i)",
     "link_prediction": f"WITH {KNOWLEDGE} SELECT DISTINCT x.id AS a, y.id AS b, round(1.0 / (1.0 + exp(-list_sum(list_transform(range(1, 65), lambda i: CAST(x.f[i] AS DOUBLE) * CAST(y.f[i] AS DOUBLE))))), 6) AS score FROM ke JOIN k x ON x.id = src JOIN k y ON y.id = dst",
     "spmm": "SELECT l_partkey AS row, CAST(c AS INTEGER) AS col, CAST(sum(CAST(l_quantity * f AS DECIMAL(28, 8))) AS DOUBLE) AS value FROM lineitem JOIN (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS f, 0 AS c FROM supplier UNION ALL SELECT s_suppkey, CAST(s_suppkey % 7 AS DOUBLE), 1 FROM supplier) s ON s_suppkey = l_suppkey GROUP BY 1, 2",
     "stream_triad": "SELECT o_orderkey, o_totalprice AS copied, round(3.0 * o_totalprice, 4) AS scaled, round(o_totalprice + o_custkey, 4) AS added, round(o_totalprice + 3.0 * o_custkey, 4) AS triad FROM orders",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.scalars import owner
@@ -52,11 +52,17 @@ class Graph:
 
     def edge_at(self, offset: int) -> DataFrame:
         """(id, dst) of each vertex's edge at a place in its sorted adjacency."""
-        return self.adjacency().filter(F.size("neighbours") > offset).select("id", F.element_at("neighbours", offset + 1).alias("dst"))
+        return self._first_edges(offset + 1).filter(F.col("_n") == offset + 1).select(F.col("src").alias("id"), "dst")
 
     def edge_window(self, offset: int, length: int) -> DataFrame:
         """(id, neighbours) with the part [offset, offset + length) of each sorted adjacency; empty past its end."""
-        return self.adjacency().select("id", F.slice("neighbours", offset + 1, length).alias("neighbours"))
+        inside = F.array_sort(F.collect_list(F.when(F.col("_n") > offset, F.col("dst"))))
+        return self._first_edges(max(1, offset + length)).groupBy(F.col("src").alias("id")).agg(inside.alias("neighbours"))
+
+    def _first_edges(self, n: int) -> DataFrame:
+        """(src, dst, _n): the first n edges of each source; a rank limit, so most edges go before the shuffle."""
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+        return self.edges.select("src", "dst").withColumn("_n", rank).filter(F.col("_n") <= n)
 
     def vertex_window(self, offset: int, length: int) -> DataFrame:
         """Vertices at places [offset, offset + length) by id, with their place."""

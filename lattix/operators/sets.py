@@ -37,10 +37,15 @@ def concatenated(*parts: DataFrame) -> DataFrame:
 
 
 def common_neighbours(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(a, b, common): for each pair the vertices that both adjacency lists have."""
-    left = adjacency.select(F.col("id").alias("a"), F.col("neighbours").alias("_na"))
-    right = adjacency.select(F.col("id").alias("b"), F.col("neighbours").alias("_nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.array_sort(F.array_intersect("_na", "_nb")).alias("common"))
+    """(a, b, common): for each pair the vertices that both adjacency lists have.
+
+    The shorter list of a pair travels to the longer one, which is shuffled once, not once for each pair."""
+    sizes = lambda c: adjacency.select(F.col("id").alias(c), F.size("neighbours").alias(f"_{c}"))
+    sized = pairs.join(sizes("a"), "a").join(sizes("b"), "b")
+    fewer = F.col("_a") <= F.col("_b")
+    sized = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("_few"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("_many"))
+    of = lambda c: adjacency.select(F.col("id").alias(c), F.col("neighbours").alias(f"{c}_list"))
+    return sized.join(of("_few"), "_few").join(of("_many"), "_many").select("a", "b", F.array_sort(F.array_intersect("_few_list", "_many_list")).alias("common"))
 
 
 def edge_probe(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_SEED, MODULUS, coin
 from ..operators.ordering import arg_max, indexed
-from ..storage import stored
+from ..storage import dropped, stored
 from .traversal import reach
 
 MONEY = "decimal(18,4)"
@@ -65,22 +65,33 @@ class Influential:
 
 
 def influential_nodes(sets: DataFrame, k: int) -> Influential:
-    """Greedy coverage: the vertex in most sets, the least id among equals; its sets go; k times, or until no set is left."""
-    rest, picks = stored(sets.select("set_id", "id")), []
+    """Greedy coverage: the vertex in most sets, the least id among equals; its sets go; k times, or until no set is left.
+
+    The sets stay as they are. Kept are the counts, from which those of the sets that a pick covers are taken, and the ids
+    of covered sets. So a round reads the covered sets' members and writes a row a vertex, whatever the sets' sizes."""
+    sets = stored(sets.select("set_id", "id"))
+    counts, covered, picks = stored(frequencies(sets)), None, []
+    left = sets.select("set_id").distinct().count()
     for rank in range(k):
-        if rank:
-            gone = rest.filter(F.col("id") == picks[-1][1]).select("set_id").distinct()
-            rest = stored(rest.join(gone, "set_id", "left_anti"))
-        best = arg_max(frequencies(rest), "frequency").first()
+        best = arg_max(counts, "frequency").first()
         if best is None:
             break
         picks.append((rank, best["id"], best["frequency"]))
-    left = rest.select("set_id").distinct().count()
+        if rank == k - 1:
+            break
+        fresh = sets.filter(F.col("id") == best["id"]).select("set_id").distinct()
+        fresh = stored(fresh if covered is None else fresh.join(covered, "set_id", "left_anti"))
+        left -= fresh.count()
+        lost = frequencies(sets.join(fresh, "set_id")).withColumnRenamed("frequency", "_lost")
+        fewer = stored(counts.join(lost, "id", "left").select("id", (F.col("frequency") - F.coalesce("_lost", F.lit(0))).alias("frequency")).filter("frequency > 0"))
+        dropped(counts)
+        counts, covered = fewer, fresh if covered is None else covered.unionAll(fresh)
+    dropped(counts, sets)
     return Influential(sets.sparkSession.createDataFrame(picks, "rank int, id long, frequency long"), left)
 
 
 def report(picks: DataFrame, edges: DataFrame, trade: DataFrame, weighted: DataFrame) -> DataFrame:
     """(rank, id, frequency, degree, bought, sold, influence) of the picked vertices; influence is the weight of their out-edges."""
-    sums = weighted.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("influence"))
+    sums = weighted.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum(F.col("weight").cast("decimal(20,12)")).cast("double").alias("influence"))
     joined = picks.join(trade.select("id", "bought", "sold"), "id", "left").join(sums, "id", "left")
     return joined.select("rank", "id", "frequency", F.coalesce("degree", F.lit(0)).alias("degree"), "bought", "sold", F.coalesce("influence", F.lit(0.0)).alias("influence"))

@@ -1,8 +1,8 @@
 """Level-synchronous traversal and shortest paths.
 
-A level is one job: the frontier meets the edges, what was seen before goes, the rest is written to the shared folder. The
-frontier's size is then known, so Spark broadcasts it while it is small and shuffles, with skewed sources divided, once it
-isn't; edges are kept as they lie, not placed by source, so that one source of very many edges is many tasks.
+A level is one job: the frontier meets the edges, what was seen before goes, the rest is written to the shared folder. Edges
+are placed by source once and kept so; a source of more than ``HEAVY`` edges is divided in as many parts as that takes. The
+frontier's size is known, so Spark broadcasts it while it is small and shuffles it, but not the edges, once it isn't.
 """
 
 from __future__ import annotations
@@ -11,10 +11,40 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dropped, stored
 
 #: Levels after which what was seen is written together, so that it is read from a few folders.
 MERGE_LEVELS = 16
+#: Edges of one source and part.
+HEAVY = 1 << 20
+
+
+class Placed:
+    """Edges (src, ...) kept by source and part, and the number of parts of the sources that have several."""
+
+    def __init__(self, edges: DataFrame):
+        many = edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("_parts")).filter("_parts > 1")
+        self.heavy = stored(many)
+        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.divided = not self.heavy.isEmpty()
+        if self.divided:
+            edges = edges.join(self.heavy, "src", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+        self.edges = edges.repartition(n, *self.key).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def key(self) -> list[str]:
+        return ["src", "_part"] if self.divided else ["src"]
+
+    def met(self, frontier: DataFrame) -> DataFrame:
+        """Edges out of the rows of frontier (src, ...), with its columns."""
+        if self.divided:
+            parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+            frontier = frontier.join(self.heavy, "src", "left").withColumn("_part", F.explode(parts)).drop("_parts")
+        return self.edges.join(frontier, self.key).drop("_part")
+
+    def free(self) -> None:
+        self.edges.unpersist()
+        dropped(self.heavy)
 
 
 def reach(edges: DataFrame, start: DataFrame, *, group: str = "source", when: Column | None = None, levels: int | None = None) -> DataFrame:
@@ -22,7 +52,7 @@ def reach(edges: DataFrame, start: DataFrame, *, group: str = "source", when: Co
 
     ``when`` is a condition on an edge and the group that goes along it. ``levels`` limits the distance.
     """
-    kept = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    placed = Placed(edges)
     try:
         frontier = stored(start.select(group, "id").distinct().withColumn("distance", F.lit(0).cast("bigint")))
         parts, level = [frontier], 0
@@ -32,9 +62,11 @@ def reach(edges: DataFrame, start: DataFrame, *, group: str = "source", when: Co
             for p in parts[1:]:
                 seen = seen.unionAll(p)
             if len(parts) > MERGE_LEVELS:
-                seen = stored(seen)
+                old, seen = parts, stored(seen)
+                frontier = seen.filter(F.col("distance") == level - 1)
                 parts = [seen]
-            met = kept.join(frontier.select(group, F.col("id").alias("src")), "src")
+                dropped(*old)
+            met = placed.met(frontier.select(group, F.col("id").alias("src")))
             on = met if when is None else met.filter(when)
             fresh = on.select(group, F.col("dst").alias("id")).distinct().join(seen.select(group, "id"), [group, "id"], "left_anti")
             frontier = stored(fresh.withColumn("distance", F.lit(level).cast("bigint")))
@@ -44,7 +76,7 @@ def reach(edges: DataFrame, start: DataFrame, *, group: str = "source", when: Co
             out = out.unionAll(p)
         return out
     finally:
-        kept.unpersist()
+        placed.free()
 
 
 def bfs(edges: DataFrame, sources: list[int]) -> DataFrame:
@@ -53,6 +85,35 @@ def bfs(edges: DataFrame, sources: list[int]) -> DataFrame:
     return reach(edges.select("src", "dst"), start)
 
 
+def bfs_push_pull(vertices: DataFrame, edges: DataFrame, source: int, share: float = 0.1) -> DataFrame:
+    """(id, distance) from one source. A level goes along the frontier's out-edges (push), or, once the frontier is over ``share``
+    of the vertices not yet seen, those look among their in-edges for one from the frontier (pull)."""
+    spark = edges.sparkSession
+    out, into = Placed(edges.select("src", "dst")), Placed(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    try:
+        frontier = stored(spark.createDataFrame([(source,)], "id long").withColumn("distance", F.lit(0).cast("bigint")))
+        seen, level = frontier, 0
+        unseen = stored(vertices.select("id").distinct().join(seen.select("id"), "id", "left_anti"))
+        while size := frontier.count():
+            level += 1
+            if size > share * unseen.count():
+                met = into.met(unseen.select(F.col("id").alias("src"))).join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi")
+                fresh = met.select(F.col("src").alias("id")).distinct()
+            else:
+                met = out.met(frontier.select(F.col("id").alias("src")))
+                fresh = met.select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+            frontier = stored(fresh.withColumn("distance", F.lit(level).cast("bigint")))
+            seen = seen.unionAll(frontier)
+            fewer = stored(unseen.join(frontier.select("id"), "id", "left_anti"))
+            dropped(unseen)
+            unseen = fewer
+        dropped(unseen)
+        return seen
+    finally:
+        out.free()
+        into.free()
+
+
 def with_unreached(vertices: DataFrame, distances: DataFrame, source: int) -> DataFrame:
     """(id, distance) of every vertex; null where it isn't reached."""
     one = distances.filter(F.col("source") == source).select("id", "distance")
@@ -74,16 +135,30 @@ def shortest_paths(edges: DataFrame, source: int, weight: str | None = None) ->
     spark = edges.sparkSession
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     kind = dict(edges.dtypes)[weight] if weight else "bigint"
-    kept = edges.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = Placed(edges.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     try:
-        known = stored(spark.createDataFrame([(source,)], "id long").withColumn("distance", F.lit(0).cast(kind)))
-        active = known
+        active = stored(spark.createDataFrame([(source,)], "id long").withColumn("distance", F.lit(0).cast(kind)))
+        parts = [active]  # a round adds what it made better; merged now and then
         while not active.isEmpty():
-            met = kept.join(active.withColumnRenamed("id", "src"), "src")
+            known = _least(parts)
+            if len(parts) > MERGE_LEVELS:
+                old, known = parts, stored(known)
+                parts = [known]
+            else:
+                old = []
+            met = placed.met(active.withColumnRenamed("id", "src"))
             candidates = met.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("_new"))
             better = candidates.join(known, "id", "left").filter(F.col("distance").isNull() | (F.col("_new") < F.col("distance")))
             active = stored(better.select("id", F.col("_new").alias("distance")))
-            known = stored(known.unionAll(active).groupBy("id").agg(F.min("distance").alias("distance")))
-        return known
+            dropped(*old)
+            parts.append(active)
+        return _least(parts)
     finally:
-        kept.unpersist()
+        placed.free()
+
+
+def _least(parts: list[DataFrame]) -> DataFrame:
+    known = parts[0]
+    for p in parts[1:]:
+        known = known.unionAll(p)
+    return known.groupBy("id").agg(F.min("distance").alias("distance")) if len(parts) > 1 else known

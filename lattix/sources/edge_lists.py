@@ -22,10 +22,10 @@ def _number(c: Column) -> Column:
     return F.when(digits.rlike("^[0-9]+$"), digits).try_cast("bigint")
 
 
-def parse_edges(text: DataFrame) -> DataFrame:
-    """(src, dst) of lines (value); lines without two numbers go."""
+def parse_edges(text: DataFrame, *kept: str) -> DataFrame:
+    """(src, dst) of lines (value), and the columns to be kept; lines without two numbers go."""
     parts = F.split(F.trim(F.translate("value", "\t,", "  ")), " +")
-    return text.select(_number(F.get(parts, F.lit(0))).alias("src"), _number(F.get(parts, F.lit(1))).alias("dst")).filter("src is not null and dst is not null")
+    return text.select(_number(F.get(parts, F.lit(0))).alias("src"), _number(F.get(parts, F.lit(1))).alias("dst"), *kept).filter("src is not null and dst is not null")
 
 
 def read_edges(spark: SparkSession, path: str | list[str], n: int | None = None) -> DataFrame:
@@ -39,8 +39,14 @@ def read_graph(spark: SparkSession, path: str | list[str], n: int) -> Graph:
     return Graph(spark.range(n), read_edges(spark, path, n))
 
 
-def read_adjacency(spark: SparkSession, path: str, n: int, *, direction_optimise: bool = False) -> DataFrame:
-    """(id, neighbours) of vertices 0 to n - 1, sorted; empty for those without edges."""
+def read_adjacency(spark: SparkSession, path: str, n: int, *, direction_optimise: bool = False, as_read: bool = False) -> DataFrame:
+    """(id, neighbours) of vertices 0 to n - 1, sorted, or in the order of the lines; empty for those without edges."""
+    if as_read:
+        # splits of a file needn't be read in order: a line's place is its file, its split and its number in that
+        text = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("at"))
+        parts = parse_edges(text.filter(~F.col("value").startswith("#")), "at")
+        listed = parts.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "dst"))), lambda x: x["dst"]).alias("neighbours"))
+        return spark.range(n).join(listed, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
     edges = read_edges(spark, path)
     graph = Graph(spark.range(n), direction_optimised(edges) if direction_optimise else edges)
     return graph.vertices.join(graph.adjacency(), "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder in the shared one that isn't there yet."""
+    return f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a written folder when Spark ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 #: Shuffle files of a statement go when it ends, so a written table's own shuffles don't stay beside it.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,15 +40,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again; its shuffle files go at once, the table when dropped() or when Spark ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattix-{uuid.uuid4().hex}"
+    path = new_path(spark)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

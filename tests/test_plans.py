@@ -65,6 +65,21 @@ def test_random_graph(spark, seed):
     assert dict(rows(traversal.shortest_paths(frame(spark, edges), 0))) == plain_bfs(edges, 0)
 
 
+def test_sources_of_many_edges_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(traversal, "HEAVY", 3)
+    monkeypatch.setattr(traversal, "MERGE_LEVELS", 2)
+    edges = [(0, k) for k in range(1, 12)] + [(k, k + 1) for k in range(11, 20)] + [(5, 0), (20, 30)]
+    assert {r[1]: r[2] for r in rows(traversal.bfs(frame(spark, edges), [0]))} == plain_bfs(edges, 0)
+    assert dict(rows(traversal.shortest_paths(frame(spark, edges), 0))) == plain_bfs(edges, 0)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 9.0])
+def test_push_and_pull_agree(spark, share):
+    edges = random_edges(40, 90, 3)
+    vertices = spark.range(40).withColumnRenamed("id", "id")
+    assert dict(rows(traversal.bfs_push_pull(vertices, frame(spark, edges), 0, share))) == plain_bfs(edges, 0)
+
+
 def test_weighted_paths_take_the_cheaper_way(spark):
     edges = frame(spark, [(0, 1, 10), (0, 2, 1), (2, 1, 2), (1, 3, 1), (2, 1, 1), (3, 0, 0)], "src long, dst long, w long")
     assert rows(traversal.shortest_paths(edges, 0, "w")) == [(0, 0), (1, 2), (2, 1), (3, 3)]

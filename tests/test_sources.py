@@ -11,7 +11,11 @@ from lattix.sources import edge_lists, records, sinks, traces
 
 from pyspark.sql import functions as F
 
-SIMPLE = "8 5;5 0;7 9;8 2;3 1;5 3;2 1;8 3;4 0;5 1;4 3;0 3;4 4;3 6;5 5;4 0;3 8;2 5;3 3;0 1".split(";")
+# The small graph whose adjacency and triangle count are known, in the order of its file.
+SIMPLE = [
+    "8 5", "5 0", "7 9", "8 2", "3 1", "5 3", "2 1", "8 3", "4 0", "5 1",
+    "4 3", "0 3", "4 4", "3 6", "5 5", "4 0", "3 8", "2 5", "3 3", "0 1",
+]
 REPEATS = SIMPLE[:1] * 2 + ["5 0", "0 5"] + SIMPLE[2:]
 
 
@@ -30,6 +34,11 @@ def test_adjacency_of_a_file(spark, tmp_path):
     assert out == {0: [1, 3], 1: [], 2: [1, 5], 3: [1, 3, 6, 8], 4: [0, 0, 3, 4], 5: [0, 1, 3, 5], 6: [], 7: [9], 8: [2, 3, 5], 9: []}
 
 
+def test_adjacency_in_the_order_of_the_lines(spark, tmp_path):
+    out = dict(rows(edge_lists.read_adjacency(spark, write(tmp_path, "simple.el", SIMPLE), 10, as_read=True)))
+    assert out == {0: [3, 1], 1: [], 2: [1, 5], 3: [1, 6, 8, 3], 4: [0, 3, 4, 0], 5: [0, 3, 1, 5], 6: [], 7: [9], 8: [5, 2, 3], 9: []}
+
+
 def test_direction_optimised_adjacency(spark, tmp_path):
     out = dict(rows(edge_lists.read_adjacency(spark, write(tmp_path, "repeats.el", REPEATS), 10, direction_optimise=True)))
     assert [out[k] for k in range(6)] == [[1, 3, 4, 5], [2, 3, 5], [5, 8], [3, 4, 5, 6, 8], [4], [5, 8]]
@@ -110,6 +119,7 @@ def test_strict_records(spark):
 
 
 def test_network_files(spark, tmp_path):
+    # Sample rows whose edges are known.
     paths = {
         "commercial": write(tmp_path, "commercial", ["Sale,299156,458364,8486,,,,3.0366367403882406", "invalid,1,2,3,,,,4", "Sale,1552474,1928788,,8/21/2018,,,", "Author,1,2,,,,,"]),
         "cyber": write(tmp_path, "cyber", ["0,217661,172800,0,6,26890,94857,6,5,1379,1770"]),
