@@ -10,7 +10,9 @@ benchmark is several blocks, for which the scan's batches pass through one step
 
 Defined cases. Null or empty text: no words, not contaminated. An item with a null text or without words gives no test
 string. An item with a null id marks words but isn't listed. Repeated item ids count once; repeated documents each get
-their row. Columns of the same names as new ones: the caller chooses the new names by ``prefix``.
+their row. Very long texts are searched whole, one at a time. Ties: all items with an equal test string are listed. Empty
+tables: no documents, no rows; no items, no hits. Columns of the same names as new ones raise ValueError; the caller chooses
+other names by ``prefix``.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ class Table:
         self.shift = np.full(1 << _BITS, m - self.block + 1, dtype=np.int16)
         for q, b in enumerate(blocks, self.block - 1):
             np.minimum.at(self.shift, b >> np.uint64(64 - _BITS), m - 1 - q)
-        order = np.argsort(blocks[-1], kind="stable")
-        self.suffix, self.prefix, self.order = blocks[-1][order], blocks[0][order], order
+        self.suffix = np.unique(blocks[-1])
+        ends = mix(blocks[-1] ^ mix(blocks[0]))  # of a suffix's bucket, those with the same first block
+        self.order = np.argsort(ends, kind="stable")
+        self.ends_of = ends[self.order]
 
     def of(self, h: np.ndarray, at: np.ndarray, rows: bool = False) -> np.ndarray:
         """Hash of the block that ends at a word."""
@@ -74,15 +78,17 @@ class Table:
         e = self.ends(h)
         e = e[text_of[e] == text_of[e - self.m + 1]]
         tail = self.of(h, e)
-        lo, hi = np.searchsorted(self.suffix, tail, "left"), np.searchsorted(self.suffix, tail, "right")
+        there = self.suffix[np.minimum(np.searchsorted(self.suffix, tail), len(self.suffix) - 1)] == tail
+        e, tail = e[there], tail[there]
+        ends = mix(tail ^ mix(self.of(h, e - self.m + self.block)))
+        lo, hi = np.searchsorted(self.ends_of, ends, "left"), np.searchsorted(self.ends_of, ends, "right")
         at, which = [], []
-        for s in range(0, len(e), 1 << 16):
-            n = (hi - lo)[s : s + (1 << 16)]
-            end = np.repeat(e[s : s + (1 << 16)], n)
-            k = np.repeat(lo[s : s + (1 << 16)], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            same = self.of(h, end - self.m + self.block) == self.prefix[k]
-            for begin, p in zip((end[same] - self.m + 1).tolist(), self.order[k[same]].tolist()):
-                if w.slice(begin, self.m) == self.strings[p]:
+        for begin, a, b in zip((e - self.m + 1).tolist(), lo.tolist(), hi.tolist()):
+            if a == b:
+                continue
+            own = w.slice(begin, self.m)
+            for p in self.order[a:b].tolist():
+                if own == self.strings[p]:
                     at.append(begin)
                     which.append(p)
         return np.array(at, dtype=np.int64), np.array(which, dtype=np.int64)

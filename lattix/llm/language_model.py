@@ -4,7 +4,7 @@ Corpus counts cover every training document: texts are gathered in chunks, a chu
 counts go, packed, to buckets by word hash, buckets add them up and answer each chunk with the counts of its own words.
 So no task and not the driver ever holds the corpus's vocabulary, and frequent words are one entry per chunk.
 
-The most frequent tokens are the model's own, as many as ``GROWTH`` times the root of the number of types and at least
+The most frequent tokens are the model's own, as many as the root of the number of types (times ``GROWTH``) and at least
 ``VOCABULARY``; any other is one more class, out of which a token is drawn in proportion to its count plus one. A GRU is
 trained with truncated backpropagation through time on every training document from its first to its last token, with
 words in frequency classes: in each round, learners go through their share of the stored texts, each from the same weights,
@@ -13,7 +13,10 @@ Scoring runs many documents side by side and carries each one's state across win
 don't depend on how rows are dealt out; the weights, and so ``score``, do.
 
 Defined cases. Null or empty text: only the end token. A null id: a training document, held_out false. No training
-document at all: N and V are 0, counts are 0, and the model is its prior. Repeated rows each count and get their row.
+document at all: N and V are 0, counts are 0, and the model is its prior. Repeated rows each count and get their row. Very
+long texts are scored and learned from to their end; a window of their ids is held at a time. Ties: of equally frequent tokens
+the least bytes come first. Empty table: no rows. Other columns are not read; the id's column must not be called like a
+result's.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .shared import stored, text_bytes
 from .words import LOWER, hash_slices, pieces
 
 VOCABULARY = 1000
-GROWTH = 4
+GROWTH = 1
 HIDDEN = 16
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -172,6 +175,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _sorted(x: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers under most; short ones are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
+
+
 def _log_chosen(x: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row in one of its columns; x is used up."""
     own = x[np.arange(len(x)), column]
@@ -205,13 +213,15 @@ class Model:
         """Natural log of P(y | h), by row."""
         c = self.class_of[y]
         out = np.concatenate([_log_chosen(h[r : r + ROWS] @ self.p["Wc"] + self.p["bc"], c[r : r + ROWS]) for r in range(0, len(y), ROWS)]) if len(y) else np.zeros(0)
-        order = np.argsort(c, kind="stable")
+        order = _sorted(c, len(self.members))
         cut = np.searchsorted(c[order], np.arange(len(self.members) + 1))
+        by_class, place, inside = h[order], self.place[y[order]], np.zeros(len(y))
         for k, ids in enumerate(self.members):
-            if cut[k + 1] > cut[k] and len(ids) > 1:
-                rows = order[cut[k] : cut[k + 1]]
+            a, b = cut[k], cut[k + 1]
+            if b > a and len(ids) > 1:
                 of = slice(ids[0], ids[-1] + 1)  # a class is a run of ids
-                out[rows] += _log_chosen(h[rows] @ self.p["Wo"][of].T + self.p["bo"][of], self.place[y[rows]])
+                inside[a:b] = _log_chosen(by_class[a:b] @ self.p["Wo"][of].T + self.p["bo"][of], place[a:b])
+        out[order] += inside
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -264,7 +274,7 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, types: int, seed: int =
 
 
 def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lanes: int = 32, rate: float = 3e-3) -> None:
-    """Truncated backpropagation through time: windows of WINDOW tokens, the state carried on without its gradient. Adam, on the rows met."""
+    """Truncated backpropagation through time: windows of WINDOW tokens, the state carried on without its gradient. Adam."""
     start = model.words.get(END, model.other)
     stream = np.concatenate([np.zeros(0, dtype=np.int64), *texts])
     if not len(stream):
@@ -275,13 +285,12 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
     p, k = model.p, HIDDEN
     m1, m2, turn = {x: np.zeros_like(v) for x, v in p.items()}, {x: np.zeros_like(v) for x, v in p.items()}, 0
 
-    def adam(name: str, v: np.ndarray, rows: slice | np.ndarray = slice(None)) -> None:
+    def adam(name: str, v: np.ndarray) -> None:
         v = np.clip(v * np.float32(1 / lanes), np.float32(-5), np.float32(5))
-        a, b = m1[name][rows], m2[name][rows]
-        a = a + np.float32(0.1) * (v - a)
-        b = b + np.float32(0.001) * (v * v - b)
-        m1[name][rows], m2[name][rows] = a, b
-        p[name][rows] -= np.float32(rate / (1 - 0.9**turn)) * a / (np.sqrt(b * np.float32(1 / (1 - 0.999**turn))) + np.float32(1e-8))
+        a, b = m1[name], m2[name]
+        a += np.float32(0.1) * (v - a)
+        b += np.float32(0.001) * (v * v - b)
+        p[name] -= np.float32(rate / (1 - 0.9**turn)) * a / (np.sqrt(b * np.float32(1 / (1 - 0.999**turn))) + np.float32(1e-8))
 
     for _ in range(epochs):
         h = np.zeros((lanes, k), dtype=np.float32)
@@ -293,8 +302,9 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
             before = y[-1]
             fresh = x == start  # a new text begins: the state is 0
             keep, states, gates = [], [], []
-            met, at = np.unique(x, return_inverse=True)
-            at = at.reshape(x.shape)
+            times = np.bincount(x.ravel())
+            met = np.flatnonzero(times)
+            at = (np.cumsum(times > 0) - 1)[x]
             table = p["E"][met] @ p["Wx"] + p["b"]
             for t in range(len(y)):
                 h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -318,17 +328,22 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 by_bias += d.sum(axis=0)
             adam("Wc", by_class)
             adam("bc", by_bias)
-            order = np.argsort(cls, kind="stable")
+            order = _sorted(cls, len(model.members))
             cut = np.searchsorted(cls[order], np.arange(len(model.members) + 1))
+            by_cls, place, back = out[order], model.place[flat[order]], np.zeros_like(out)
+            by_token, token_bias = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
             for j, member in enumerate(model.members):
-                rows = order[cut[j] : cut[j + 1]]
-                if len(member) > 1 and len(rows):
-                    of, some = slice(member[0], member[-1] + 1), out[rows]  # a class is a run of ids
+                a, b = cut[j], cut[j + 1]
+                if len(member) > 1 and b > a:
+                    of, some = slice(member[0], member[-1] + 1), by_cls[a:b]  # a class is a run of ids
                     d = _softmax(some @ p["Wo"][of].T + p["bo"][of])
-                    d[np.arange(len(rows)), model.place[flat[rows]]] -= 1
-                    dh_out[rows] += d @ p["Wo"][of]
-                    adam("Wo", d.T @ some, of)
-                    adam("bo", d.sum(axis=0), of)
+                    d[np.arange(b - a), place[a:b]] -= 1
+                    np.matmul(d, p["Wo"][of], out=back[a:b])
+                    np.matmul(d.T, some, out=by_token[of])
+                    d.sum(axis=0, out=token_bias[of])
+            dh_out[order] += back
+            adam("Wo", by_token)
+            adam("bo", token_bias)
             dh = np.zeros((lanes, k), dtype=np.float32)
             hidden = []
             for t in range(len(y) - 1, -1, -1):
@@ -341,13 +356,14 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 hidden.append(du)
                 dh = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ p["U"].T)
             da, du = np.concatenate(gates[::-1]), np.concatenate(hidden[::-1])
-            order = np.argsort(at.ravel(), kind="stable")
+            order = _sorted(at.ravel(), len(met))
             by_word = np.add.reduceat(da[order], np.searchsorted(at.ravel()[order], np.arange(len(met))))
-            emb, grad = p["E"][met], by_word @ p["Wx"].T
+            emb, grad = p["E"][met], np.zeros_like(p["E"])
+            grad[met] = by_word @ p["Wx"].T
             adam("U", np.concatenate([x[0] for x in keep]).T @ du)
             adam("Wx", emb.T @ by_word)
             adam("b", da.sum(axis=0))
-            adam("E", grad, met)
+            adam("E", grad)
 
 
 def learned(texts: DataFrame, model: Model, learners: int, rounds: int) -> int:

@@ -16,7 +16,8 @@ documents and different values stay different:
 
 Round functions are SHA-256 with the caller's key; eight rounds. What isn't valid stays as it is. No join, no shuffle, no
 Python. Defined cases: a null text stays null, with no findings; an empty or very long text is treated like any other;
-repeated rows each get their row; other columns pass through, whatever they are called.
+repeated rows each get their row; an empty table gives no rows; of candidates that begin in one place the kind listed first
+is tried first (a tie); other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations

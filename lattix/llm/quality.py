@@ -9,7 +9,9 @@ sample of at most ``SAMPLE`` documents (the one bounded sample here) and scores
 Scans without a shuffle of texts; only vote patterns with counts and the sample's features go to the driver.
 
 Defined cases. Null or empty text: all labellers abstain, so its posterior is the share of good documents; the scorer sees
-the bias only. Repeated rows each count and get their row. Empty table: no rows.
+the bias only. Very long texts are scanned whole, one at a time. Repeated rows each count, in the fit too, and get their row.
+Ties: a score equal to the threshold keeps. Empty table: no rows. Other columns stay as they are; one called like a result's
+column raises ValueError, and ``prefix`` renames those.
 """
 
 from __future__ import annotations
@@ -133,18 +135,18 @@ def fit_labels(counts: dict[str, int], rounds: int = 100) -> LabelModel:
     return model
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], steps: int = 300, rate: float = 0.5, l2: float = 1e-5) -> np.ndarray:
-    """Weights by bucket; bucket 0 is the bias. Soft targets; full-batch Adagrad."""
+def fit_scorer(rows: list[tuple[list[int], list[float], float]], times: np.ndarray | None = None, steps: int = 300, rate: float = 0.5, l2: float = 1e-5) -> np.ndarray:
+    """Weights by bucket; bucket 0 is the bias. Soft targets; full-batch Adagrad. A row counts ``times``."""
     w = np.zeros(BUCKETS)
     if not rows:
         return w
     size = np.array([len(r[0]) for r in rows])
     of, y = np.repeat(np.arange(len(rows)), size), np.array([r[2] for r in rows])
     col, val = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows]), np.concatenate([np.asarray(r[1], dtype=float) for r in rows])
-    seen = np.full(BUCKETS, 1e-8)
+    seen, part = np.full(BUCKETS, 1e-8), np.full(len(rows), 1 / len(rows)) if times is None else times / times.sum()
     for _ in range(steps):
         z = w[0] + np.bincount(of, w[col] * val, minlength=len(rows))
-        miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(rows)
+        miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * part
         g = np.bincount(col, miss[of] * val, minlength=BUCKETS) + l2 * w
         g[0] = miss.sum()
         seen += g * g
@@ -184,14 +186,15 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Classif
     total = sum(counts.values())
     share = min(1.0, 0.9 * sample / total) if total else 0
     some = only.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else only
+    some = some.groupBy("text").agg(F.count(F.lit(1)).alias("times"))  # copies are one row that counts as often, at every size
 
     def build(f: Features) -> list[pa.Array]:
         cut = pa.array(f.at, pa.int32())
         return [pa.ListArray.from_arrays(cut, pa.array(f.bucket, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(f.value, pa.float64())), pa.array(labels.posterior(f.votes))]
 
     fields = [("bucket", T.ArrayType(T.IntegerType())), ("value", T.ArrayType(T.DoubleType())), ("y", T.DoubleType())]
-    rows = _scan(some.dropDuplicates(["text"]) if share < 1 else some, "text", [], fields, build).limit(sample).collect()
-    return Classifier(labels, fit_scorer([(r["bucket"], r["value"], r["y"]) for r in rows]))
+    rows = _scan(some, "text", ["times"], fields, build).limit(sample).collect()
+    return Classifier(labels, fit_scorer([(r["bucket"], r["value"], r["y"]) for r in rows], np.array([r["times"] for r in rows], dtype=float)))
 
 
 def score_quality(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, classifier: Classifier | None = None, prefix: str = "") -> DataFrame:

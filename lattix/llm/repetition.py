@@ -5,8 +5,9 @@ For every whole text: characters, symbols, repeated lines, words in repeated 8-w
 kept when none of the limits is passed. Rows are scanned once, without a shuffle.
 
 Defined cases. Null or empty text: no words, all counts 0, not kept (fewer than ``min_words``). Repeated rows each get
-their row. Lines without a word are not counted as repeated lines. Hashes only select: equal windows are confirmed on
-their bytes.
+their row. Very long texts are scanned whole, one at a time. Ties: a share equal to its limit is within it. Empty table: no
+rows. Lines without a word are not counted as repeated lines. Hashes only select: equal windows are confirmed on their bytes.
+Other columns stay as they are; one called like a result's column raises ValueError, and ``prefix`` renames those.
 """
 
 from __future__ import annotations

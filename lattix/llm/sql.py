@@ -1,5 +1,9 @@
 """DuckDB SQL over the whole tables, one statement a query."""
 
+import re
+
+from .licenses import PHRASES, TEMPLATES, Automaton
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANK = r"[^\x20\x09-\x0D]+"
@@ -60,4 +64,36 @@ r AS (SELECT doc_id AS root, doc_id AS node FROM n UNION SELECT r.root, u.b FROM
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN (SELECT node, min(root) AS c FROM r GROUP BY 1) m ON m.node = n.doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op5_near_dedup": OP5, "op9_quality_rules": OP9}
+
+
+def _template(label: str, markup: str) -> str:
+    """Where the label's template is accepted (doc_id, b, n), with words from 1. A template is a regular
+    expression over words that each follow a space; greedy matches are the longest."""
+    a, pattern = Automaton(markup), ""
+    for part in re.findall(r"\[\[.*?\]\]|<<\d+>>|[^\s\[<]+", markup):
+        pattern += rf"(?: [^ ]+){{0,{part[2:-2]}}}" if part.startswith("<<") else f"(?: {part[2:-2]})?" if part.startswith("[[") else f" {part}"
+    anchor, k = a.anchor.decode(), a.anchor.count(b" ") + 1
+    found = f"""SELECT '{label}' AS label, doc_id, i, b, regexp_extract(' ' || array_to_string(w[b:b + {a.most - 1}], ' ') || ' ', '^{pattern} ') AS m
+      FROM (SELECT doc_id, w, i, unnest(range(greatest(1, i - {a.before}), i + 1)) AS b FROM
+        (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM d WHERE contains(s, ' {anchor} ')) WHERE array_to_string(w[i:i + {k - 1}], ' ') = '{anchor}')"""
+    return f"SELECT label, doc_id, b, len(m) - len(replace(m, ' ', '')) - 1 AS n FROM ({found}) WHERE m <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY b) = 1"
+
+
+def _phrase(phrase: str, label: str) -> str:
+    k = phrase.count(" ") + 1
+    return f"SELECT '{label}' AS label, doc_id, i AS b, {k} AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM d WHERE contains(s, ' {phrase} ')) WHERE array_to_string(w[i:i + {k - 1}], ' ') = '{phrase}'"
+
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents)),
+p AS ({" UNION ALL ".join(_phrase(x, y) for x, y in PHRASES.items())}),
+t AS ({" UNION ALL ".join(_template(x, y) for x, y in TEMPLATES.items())}),
+a AS (SELECT * FROM p UNION ALL SELECT * FROM t),
+pb AS (SELECT doc_id, count(*) AS n_base, min(b) - 1 AS first_word, max(b) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM a GROUP BY 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS inside FROM (SELECT doc_id, unnest(range(b, b + n)) AS j FROM a) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(inside, 0) / greatest(len(w), 1) AS score
+FROM d LEFT JOIN pb ON pb.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op8_license_scan": OP8, "op1_decontamination": OP1, "op2_substring_dedup": OP2, "op5_near_dedup": OP5, "op9_quality_rules": OP9}

@@ -9,7 +9,10 @@ Labels say toxic or not; the training grade of a toxic document is 1 to 3 by how
 (1-2, 3-4, more), a clean one's is 0. A ``grade`` column of the labels is used as it is.
 
 Defined cases. Null or empty text: no features, so the thresholds alone give its severity. Repeated labels of a document:
-the highest counts. Without labelled rows, or without toxic ones: severity 0 for all. Repeated rows each get their row.
+the highest counts. Without labelled rows, or without toxic ones: severity 0 for all. Empty table: no rows. Very long texts
+are scanned whole, one at a time. Ties: a probability of exactly a half reaches the grade; of equally telling words the least
+hash is taken. Repeated rows each get their row. Other columns stay as they are; one called like a result's column raises
+ValueError, and ``prefix`` renames those.
 """
 
 from __future__ import annotations

@@ -1,3 +1,5 @@
+import datetime
+import hashlib
 import random
 import re
 
@@ -107,3 +109,114 @@ def test_whole_values_are_replaced(spark):
     assert not any(x in out[2][0] for x in token.split("."))
     assert not any(long[i : i + 20] in out[3][0] for i in range(0, 2980, 20)) and len(out[3][0]) == len(texts[3])
     assert "234 4567" not in out[4][0] and "23 45 67 89" not in out[5][0]
+
+
+# ---- the permutations in plain Python, with the same key
+
+
+def noise(label, *parts):
+    text = "|".join([pii.TEST_KEY, label, *map(str, parts)])
+    return int(hashlib.sha256(text.encode()).hexdigest()[:12], 16)
+
+
+def numbers(a, b, size_a, size_b, label):
+    for r in range(1, pii.ROUNDS + 1):
+        if r % 2:
+            a = (a + noise(label, r, b)) % size_a
+        else:
+            b = (b + noise(label, r, a)) % size_b
+    return a, b
+
+
+def characters(v, label, alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    def shifted(text, other, r):
+        other = hashlib.sha256(other.encode()).hexdigest() if len(other) > 100 else other
+        out = ""
+        for i, c in enumerate(text):
+            alphabet = next((x for x in alphabets if c in x), None)
+            out += alphabet[(alphabet.index(c) + noise(label, r, i, other)) % len(alphabet)] if alphabet else c
+        return out
+
+    a, b = v[: len(v) // 2], v[len(v) // 2 :]
+    for r in range(1, pii.ROUNDS + 1):
+        if r % 2:
+            a = shifted(a, b, r)
+        else:
+            b = shifted(b, a, r)
+    return a + b
+
+
+def laid_out(like, chars):
+    rest = iter(chars)
+    return "".join(next(rest) if c.isalnum() else c for c in like)
+
+
+def plain(kind, m):
+    if kind == "date":
+        first = datetime.date(1800, 1, 1)
+        layout = "%Y-%m-%d" if "-" in m else "%d.%m.%Y" if "." in m else "%m/%d/%Y"
+        days = (datetime.datetime.strptime(m, layout).date() - first).days
+        a, b = numbers(days // 5411, days % 5411, 27, 5411, "date")
+        return (first + datetime.timedelta(a * 5411 + b)).strftime(layout)
+    if kind == "ip":
+        p = [int(x) for x in m.split(".")]
+        a, b = numbers(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in m.split("-"))
+        a, b = numbers(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+        return f"{a + (2 if a >= 665 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone":
+        if m.startswith("+") and not m.startswith("+1"):
+            head = re.match(r"\+\d{1,3}", m)[0]
+            return head + characters(m[len(head) :], "phone")
+        a, b = numbers(int(m[-8:-5]) - 200, int(m[-4:]), 800, 10_000, "phone")
+        return f"{m[:-8]}{a + 200}{m[-5]}{b:04d}"
+    if kind == "card":
+        d = "".join(c for c in m if c.isdigit())
+        made = d[0] + characters(d[1:-1], "card")
+        return laid_out(m, made + next(c for c in "0123456789" if luhn(made + c)))
+    if kind == "iban":
+        v = m.replace(" ", "")
+        body = characters(v[4:], "iban")
+        check = 98 - int("".join(str(int(c, 36)) for c in body + v[:2] + "00")) % 97
+        return laid_out(m, f"{v[:2]}{check:02d}{body}")
+    if kind == "email":
+        local, domain = m.split("@")
+        *labels, last = domain.split(".")
+        return f"{characters(local, 'local')}@{'.'.join([characters(x, 'domain') for x in labels] + [last])}"
+    head, value = re.match(r"(.*?[=:]\s*)(.*)$", m).groups()
+    return head + (characters(value, "hex", ("0123456789abcdef",)) if re.fullmatch("[0-9a-f]+", value) else characters(value, "secret"))
+
+
+def test_against_plain_python(spark):
+    """Each kind's pseudonym, for values over the whole of its range, and the text around them."""
+    r = random.Random(12)
+    digits = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        d = next(d + c for c in "0123456789" if luhn(d + c))
+        return r.choice([d, " ".join(d[k : k + 4] for k in range(0, 16, 4))])
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    day = lambda: datetime.date(1800, 1, 1) + datetime.timedelta(r.randrange(146_097))
+    make = {
+        "date": lambda: day().strftime(r.choice(["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"])),
+        "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+        "ssn": lambda: f"{r.choice([r.randrange(1, 666), r.randrange(667, 900)]):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}",
+        "phone": lambda: r.choice([f"(212) {r.randrange(200, 1000)}-{digits(4)}", f"+44 20 {digits(4)} {digits(4)}"]),
+        "card": card,
+        "iban": iban,
+        "email": lambda: f"a{word(5)}.{word(3)}@b{word(4)}.example.org",
+        "secret": lambda: f"token={r.choice([word(11) + '7', 'A' + word(140) + '5', '0123456789abcdef'])}",
+    }
+    values = [(k, f()) for k, f in make.items() for _ in range(12)]
+    out = one(spark, *(f"it is {v} here" for _, v in values))
+    for (kind, v), (text, found) in zip(values, out):
+        assert found == [(kind, plain(kind, v))], (kind, v)
+        assert text == f"it is {plain(kind, v)} here"

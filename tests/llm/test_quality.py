@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -78,3 +79,58 @@ def test_same_model_same_scores(spark):
     df = frame(spark, [(prose if i % 3 else junk)(r) for i in range(60)])
     model = quality.fit(df)
     assert rows(quality.score_quality(df, classifier=model)) == rows(quality.score_quality(df.repartition(5), classifier=model))
+
+
+def plain_em(patterns):
+    """Expectation-maximisation document by document, in plain Python."""
+    k = len(patterns[0])
+    post = [1e-3 if "0" in p else 1 - 1e-3 for p in patterns]
+    for _ in range(100):
+        good = min(max(sum(post) / len(post), 1e-3), 1 - 1e-3)
+        vote = {}
+        for c in (0, 1):
+            for j in range(k):
+                mass = {v: 0.1 + sum(q if c else 1 - q for q, p in zip(post, patterns) if p[j] == v) for v in "01-"}
+                for v in "01-":
+                    vote[c, j, v] = mass[v] / sum(mass.values())
+        after = []
+        for p in patterns:
+            odds = math.log(good) - math.log(1 - good) + sum(math.log(vote[1, j, v]) - math.log(vote[0, j, v]) for j, v in enumerate(p))
+            after.append(1 / (1 + math.exp(-odds)))
+        if max(abs(x - y) for x, y in zip(post, after)) < 1e-7:
+            break
+        post = after
+    return after
+
+
+def plain_scorer(rows, steps=300, rate=0.5, l2=1e-5):
+    w, seen = {0: 0.0}, {}
+    for _ in range(steps):
+        g = {}
+        for bucket, value, y in rows:
+            z = w[0] + sum(w.get(b, 0.0) * v for b, v in zip(bucket, value))
+            miss = (1 / (1 + math.exp(-z)) - y) / len(rows)
+            g[0, "bias"] = g.get((0, "bias"), 0.0) + miss
+            for b, v in zip(bucket, value):
+                g[b, ""] = g.get((b, ""), 0.0) + miss * v
+        step = {b: x + l2 * w.get(b, 0.0) for (b, kind), x in g.items() if not kind and b} | {0: g[0, "bias"]}
+        for b, x in step.items():
+            seen[b] = seen.get(b, 1e-8) + x * x
+            w[b] = w.get(b, 0.0) - rate * x / math.sqrt(seen[b])
+    return w
+
+
+def test_query_against_plain_python(spark):
+    """Posteriors by EM over every document, and scores of a scorer fitted to them row by row; copies count each."""
+    r = random.Random(8)
+    texts = [(prose if i % 4 else junk)(r, 24) for i in range(30)]
+    texts += texts[:6] + [None]
+    out = quality.score_quality(frame(spark, texts)).orderBy("doc_id").collect()
+    post = plain_em([x["votes"] for x in out])
+    assert np.allclose([x["posterior"] for x in out], post, atol=1e-5)
+    f = quality.features([(t or "").encode() for t in texts])
+    sparse = [(f.bucket[a:b].tolist(), f.value[a:b].tolist()) for a, b in zip(f.at[:-1].tolist(), f.at[1:].tolist())]
+    w = plain_scorer([(b, v, y) for (b, v), y in zip(sparse, post)])
+    score = [1 / (1 + math.exp(-(w[0] + sum(w.get(b, 0.0) * v for b, v in zip(*x))))) for x in sparse]
+    assert np.allclose([x["score"] for x in out], score, atol=1e-3)
+    assert [x["kept"] for x in out] == [x["score"] >= quality.THRESHOLD for x in out]

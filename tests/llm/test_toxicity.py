@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from helpers import AWKWARD, frame
 
 from lattix.llm import toxicity
 from lattix.llm.shared import table
+from lattix.llm.words import hash_word
 
 BAD = [f"vile{i}" for i in range(12)]
 
@@ -91,3 +93,58 @@ def test_equal_rows_keep_their_count(spark):
     w, t = toxicity.fit_ordinal(x, np.array([1, 0, 0]), 1, times=np.array([90.0, 10.0, 9900.0]), l1=0.0, steps=3000)
     v, u = toxicity.fit_ordinal(np.repeat(x, [90, 10, 9900], axis=0), np.repeat([1, 0, 0], [90, 10, 9900]), 1, l1=0.0, steps=3000)
     assert np.allclose(w, v) and np.allclose(t, u)
+
+
+def plain_ordinal(x, y, grades, l1=2e-4, steps=500):
+    """The same optimum by plain proximal steps without momentum, in plain Python."""
+    n, k = len(x), len(x[0])
+    t, w = [1 + j / max(1, grades - 1) for j in range(grades)], [0.0] * k
+    rate = 4.0 / (sum(v * v for row in x for v in row) / n * grades + 1)
+    for _ in range(steps * 40):
+        gw, gt = [0.0] * k, [0.0] * grades
+        for row, grade in zip(x, y):
+            z = sum(a * b for a, b in zip(w, row))
+            for j in range(grades):
+                miss = (1 / (1 + math.exp(t[j] - z)) - (grade > j)) / n
+                gt[j] += miss
+                for i, v in enumerate(row):
+                    gw[i] += miss * v
+        w = [max(a - rate * g - rate * l1, 0.0) for a, g in zip(w, gw)]
+        t = [a + rate * g for a, g in zip(t, gt)]
+        for j in range(1, grades):
+            t[j] = max(t[j], t[j - 1])
+    return w, t
+
+
+def test_fit_against_plain_python():
+    r = random.Random(5)
+    x = [[float(r.random() < 0.5), float(r.random() < 0.4)] for _ in range(40)]
+    y = [min(3, max(0, round(2 * a + b + r.gauss(0, 0.8)))) for a, b in x]
+    w, t = toxicity.fit_ordinal(np.array(x), np.array(y), 3, l1=0.01, steps=3000)
+    plain_w, plain_t = plain_ordinal(x, y, 3, l1=0.01, steps=100)
+    assert np.allclose(w, plain_w, atol=0.02) and np.allclose(t, plain_t, atol=0.02)
+
+
+def test_given_grades_and_scores_against_plain_python(spark):
+    """Labels with grades 0 to 3; every column of the result follows from the model, word by word."""
+    r = random.Random(9)
+    texts, labels = [], []
+    for i in range(160):
+        grade = r.choice([0, 0, 1, 2, 3])
+        texts.append(" ".join([f"w{r.randrange(100)}" for _ in range(20)] + r.sample(BAD, 2 * grade)))
+        labels.append((i, int(grade > 0), grade))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int, grade int"))
+    weight = {int(h): float(v) for h, v in zip(model.words.tolist(), model.weights.tolist())}
+    out = toxicity.score_toxicity(frame(spark, [*texts, None, ""]), model=model).orderBy("doc_id").collect()
+    for row, text in zip(out, [*texts, "", ""]):
+        words = text.lower().split()
+        known = {x for x in words if hash_word(x.encode()) in weight}
+        z = sum(weight[hash_word(x.encode())] for x in known)
+        p = [1 / (1 + math.exp(float(t) - z)) for t in model.thresholds]
+        assert (row["n_words"], row["n_markers"]) == (len(words), len(known))
+        assert math.isclose(row["severity"], sum(p), abs_tol=1e-9) and math.isclose(row["p_toxic"], p[0], abs_tol=1e-9)
+        assert row["grade"] == sum(x >= 0.5 for x in p) and row["is_toxic"] == (p[0] >= 0.5)
+    got = np.array([x["severity"] for x in out[:160]])
+    grades = np.array([g for _, _, g in labels])
+    assert [got[grades == g].mean() for g in range(4)] == sorted(got[grades == g].mean() for g in range(4))
+    assert np.mean(np.abs(got - grades) < 1) > 0.8
