@@ -267,7 +267,8 @@ def test_adam_and_layers():
     assert (gcn.dense_layer(np.array([[1.0, -1.0]]), np.array([[1.0], [3.0]])) == 0).all()
 
 
-def test_training_learns(spark):
+@pytest.mark.parametrize("replicas,epochs", [(1, 3), (2, 5)])
+def test_training_learns(spark, replicas, epochs):
     """Two kinds of vertices that only their neighbours tell apart."""
     n = 64
     kind = lambda i: "PERSON" if i % 2 else "TOPIC"
@@ -275,7 +276,7 @@ def test_training_learns(spark):
     edges = frame(spark, [(i, (i + k) % n, "AUTHOR" if i % 2 else "HASTOPIC") for i in range(n) for k in (2, 4)], "src long, dst long, type string")
     made = features.two_hop_features(vertices, edges).cache()
     masks = features.split_masks(vertices).cache()
-    net, history = gcn.train(vertices, edges, made, masks, epochs=3, size=4)
+    net, history = gcn.train(vertices, edges, made, masks, epochs=epochs, size=4, replicas=replicas)
     assert history[-1]["loss"] < history[0]["loss"]
     test = gcn.accuracy(net, vertices, edges, made, masks, "test")
     assert test["correct"] == test["total"] == 8
