@@ -43,6 +43,7 @@ on_copurchase("triangle_count", lambda g: triangles.triangle_count(g.edges))
 on_copurchase("triangle_count_wedges", lambda g: triangles.triangle_count_by_wedges(g.edges))
 on_copurchase("triangle_count_literal", lambda g: triangles.triangle_count(g.edges, orient=False))
 on_copurchase("triangle_chunks", lambda g: triangles.triangle_chunks(g.vertices, g.edges))
+on_copurchase("triangle_edge_chunks", lambda g: triangles.triangle_edge_chunks(g.edges))
 on_copurchase("graph_size", lambda g: g.sizes())
 on_copurchase("out_degree", lambda g: g.out_degrees())
 on_copurchase("in_degree", lambda g: g.in_degrees())

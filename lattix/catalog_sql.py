@@ -129,6 +129,7 @@ ORACLE_SQL = {
     "triangle_count_wedges": f"{_TRIANGLES} SELECT count(*) AS triangles FROM tri",
     "triangle_count_literal": f"{_TRIANGLES} SELECT count(*) AS triangles FROM tri",
     "triangle_chunks": f"{_TRIANGLES}, pl AS (SELECT id, CAST(floor(log2(row_number() OVER (ORDER BY id))) AS INTEGER) AS chunk FROM v), c AS (SELECT chunk, CAST(count(a) AS BIGINT) AS triangles FROM pl LEFT JOIN tri ON a = id GROUP BY 1) SELECT *, CAST(sum(triangles) OVER (ORDER BY chunk) AS BIGINT) AS running FROM c",
+    "triangle_edge_chunks": f"WITH {EDGES}, tri AS (SELECT x.src AS a, x.dst AS b, count(*) AS n FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst GROUP BY 1, 2), pl AS (SELECT src, dst, CAST(floor(log2(row_number() OVER (ORDER BY src, dst))) AS INTEGER) AS chunk FROM e), c AS (SELECT chunk, CAST(coalesce(sum(n), 0) AS BIGINT) AS triangles FROM pl LEFT JOIN tri ON a = src AND b = dst GROUP BY 1) SELECT *, CAST(sum(triangles) OVER (ORDER BY chunk) AS BIGINT) AS running FROM c",
     "graph_size": f"WITH {EDGES} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges",
     "out_degree": f"WITH {EDGES} SELECT id, count(dst) AS degree FROM v LEFT JOIN e ON src = id GROUP BY 1",
     "in_degree": f"WITH {EDGES} SELECT id, count(src) AS degree FROM v LEFT JOIN e ON dst = id GROUP BY 1",

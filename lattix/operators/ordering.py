@@ -62,5 +62,13 @@ def arg_max(df: DataFrame, score: str, id_: str = "id") -> DataFrame:
 
 
 def lower_bound(sorted_array: Column, value: Column) -> Column:
-    """How many elements of a sorted array are less than value."""
-    return F.size(F.filter(sorted_array, lambda x: x < value))
+    """How many elements of a sorted array are less than value: the place is halved 31 times, however long the array."""
+    begin = F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        less = F.coalesce(F.get(sorted_array, mid) < value, F.lit(False))
+        on = s["lo"] < s["hi"]
+        return F.struct(F.when(on & less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(on & ~less, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), begin, halved, lambda s: s["lo"])

@@ -56,3 +56,11 @@ def triangle_chunks(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     found = closed(oriented(edges, by="id")).groupBy("src").agg(F.sum("closed").alias("n"))
     counted = place.join(found, "src", "left").groupBy("chunk").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triangles"))
     return counted.withColumn("running", F.sum("triangles").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))  # a row a chunk, at most 63
+
+
+def triangle_edge_chunks(edges: DataFrame) -> DataFrame:
+    """(chunk, triangles, running): by chunks of 1, 2, 4, ... edges in the order of their ends, by the edge of a triangle's two least vertices."""
+    ordered = stored(oriented(edges, by="id"))
+    place = indexed(ordered, ["src", "dst"], "place").select("src", "dst", F.floor(F.log2(F.col("place") + 1)).cast("int").alias("chunk"))
+    counted = place.join(closed(ordered), ["src", "dst"], "left").groupBy("chunk").agg(F.coalesce(F.sum("closed"), F.lit(0)).alias("triangles"))
+    return counted.withColumn("running", F.sum("triangles").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))  # a row a chunk, at most 63
