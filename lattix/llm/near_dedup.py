@@ -136,7 +136,7 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     score = F.shiftleft("typical", 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))
     sums = lists.groupBy("key").agg(F.max_by("row", score).alias("c"), F.ceil(F.sum(F.col("size").cast("long")) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members"))
     hubs = stored(sums.filter("members > 1").drop("members"))
-    block = F.min(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).alias("block")
+    block = F.max_by(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"), "blocks").alias("block")  # as its largest list deals it
     out = stored(lists.join(hubs, "key").filter("row != c").groupBy("c", "row", "size", "typical").agg(block))
     dropped(hubs)
     return out

@@ -170,5 +170,5 @@ def test_no_row_for_each_pair(spark):
         nodes = near_dedup.sketch(df, "doc_id", "text", 3, False)
         nodes = near_dedup.stored(nodes)
         lists = near_dedup.posted_lists(nodes, near_dedup.SHARED)
-        made[n] = near_dedup.hub_pairs(lists, nodes, False).count()
+        made[n] = near_dedup.hub_pairs(lists).count()
     assert made[300] < 6 * made[100]

@@ -6,6 +6,8 @@ from helpers import AWKWARD, blank_words, frame
 
 from lattix.llm import substring_dedup
 
+from pyspark.sql import functions as F
+
 
 def brute(docs, window=20):
     seen, words = {}, {d: blank_words(t) for d, t in docs}
@@ -71,3 +73,18 @@ def test_extra_columns(spark):
     assert substring_dedup.remove_repeats(df).first()["_spans"] == "x"
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(df.withColumnRenamed("bucket", "Kept"))
+
+
+def test_frequent_runs_are_no_minimisers(spark, monkeypatch):
+    """A run of six words in every text, each time between other words, and one text that consists of such runs."""
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 0)
+    r = random.Random(6)
+    run6 = " ".join(f"h{k}" for k in range(6))
+    texts = []
+    for _ in range(30):
+        own = lambda n: " ".join(f"x{r.randrange(10**6)}" for _ in range(n))
+        texts.append(f"{own(17)} {run6} {own(17)} {run6} {own(5)}")
+    texts += texts[3:6] + [" ".join([run6] * 8)] * 2
+    df = frame(spark, texts)
+    assert len(substring_dedup.hot_runs(df.select("text", F.lit(0).alias("key")), 20, 1)) > 0
+    assert run(df.repartition(3)) == brute(list(enumerate(texts)))
