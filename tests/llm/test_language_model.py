@@ -115,8 +115,10 @@ def test_every_training_token_is_gone_through(spark):
     assert lm.learned(gathered, model, 2, 3) == expected
 
 
-def test_vocabulary_grows(spark):
-    """2,500 tokens that come twice each among 40,000 that come once are all the model's own."""
+def test_vocabulary_grows(spark, monkeypatch):
+    """It follows the root of the types; with 16 times that, 2,500 tokens that come twice each among 40,000 that come once are all its own."""
+    assert [lm.own_words(n) for n in (100, 10**6, 10**8)] == [1000, 1000, 10_000]
+    monkeypatch.setattr(lm, "GROWTH", 16)
     r = random.Random(3)
     words = [f"often{i}" for i in range(2500)] * 2 + [f"once{i}" for i in range(40_000)]
     r.shuffle(words)
