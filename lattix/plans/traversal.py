@@ -23,13 +23,18 @@ class Placed:
     """Edges (src, ...) kept by source and part, and the number of parts of the sources that have several."""
 
     def __init__(self, edges: DataFrame):
-        many = edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("_parts")).filter("_parts > 1")
-        self.heavy = stored(many)
+        """Edges are worked out once, where they are placed; their number by source is then known without a shuffle."""
         n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.edges = edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        many = self.edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("_parts")).filter("_parts > 1")
+        self.heavy = stored(many)
         self.divided = not self.heavy.isEmpty()
         if self.divided:
-            edges = edges.join(self.heavy, "src", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-        self.edges = edges.repartition(n, *self.key).persist(StorageLevel.MEMORY_AND_DISK)
+            whole = self.edges
+            part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int"), F.lit(0))
+            self.edges = whole.join(self.heavy, "src", "left").withColumn("_part", part).drop("_parts").repartition(n, *self.key).persist(StorageLevel.MEMORY_AND_DISK)
+            self.edges.count()
+            whole.unpersist()
 
     @property
     def key(self) -> list[str]:

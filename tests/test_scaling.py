@@ -38,3 +38,11 @@ def test_copurchase_of_nulls_and_repeated_lines(spark, tmp_path):
     g = tables.copurchase(spark, at)
     assert rows(g.edges) == [(3, 5), (3, 8), (5, 8)]
     assert rows(g.vertices) == [(3,), (5,), (8,)]
+
+
+def test_placed_edges_are_worked_out_once(spark):
+    edges, seen = counted(spark, [(k % 7, k) for k in range(100)])
+    placed = traversal.Placed(edges)
+    assert placed.edges.count() == 100
+    placed.free()
+    assert seen.value == 100
