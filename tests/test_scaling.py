@@ -1,12 +1,14 @@
 """Work that must not be repeated, and tasks that must not grow with the input."""
 
 import itertools
+import random
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from lattix import storage, tables
-from lattix.plans import features, traversal
+from lattix.operators import sets
+from lattix.plans import features, traversal, triangles
 
 
 def lineitem(spark, path, pairs):
@@ -56,3 +58,32 @@ def test_samples_hash_each_edge_once(spark):
     assert seen.value == len(all_)
     assert {(r[0], r[2]) for r in found if r[1] == 0} == {(b, v) for b in range(3) for v in range(4)}
     assert max(sum(1 for _ in g) for _, g in itertools.groupby(found, key=lambda r: r[:3])) == 3
+
+
+def test_neighbourhoods_travel_once_to_a_block(spark, monkeypatch):
+    """Blocks of ids, negative ones too, whatever their width and number."""
+    draw = random.Random(5)
+    edges = spark.createDataFrame([(draw.randrange(-20, 40), draw.randrange(-20, 40)) for _ in range(500)], "src long, dst long").cache()
+    distinct = {(min(r), max(r)) for r in map(tuple, edges.collect()) if r[0] != r[1]}
+    ids = range(-20, 40)
+    expected = sum((a, b) in distinct and (b, c) in distinct and (a, c) in distinct for a, b, c in itertools.combinations(ids, 3))
+    out = {}
+    for a, b in distinct:
+        out.setdefault(a, set()).add(b)
+    common = sorted((a, b, sorted(out[a] & out[b])) for a, b in distinct if b in out)
+    pairs = spark.createDataFrame(sorted(distinct), "a long, b long").cache()
+    adjacency = pairs.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("neighbours")).cache()
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(sets, "BLOCK_EDGES", size)
+        assert rows(triangles.triangle_count(edges)) == [(expected,)]
+        assert rows(triangles.triangle_count_by_wedges(edges)) == [(expected,)]
+        assert rows(sets.common_neighbours(pairs, adjacency)) == common
+
+
+def test_placed_joins_are_not_shuffled_again(spark):
+    left = spark.range(100).select((F.col("id") % 5).alias("block"), F.col("id").alias("k")).repartition(7, "block")
+    right = spark.range(100).select((F.col("id") % 5).alias("block"), F.col("id").alias("k"), F.spark_partition_id().alias("x")).repartition(7, "block")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    met = storage.stored(left.join(right.hint("shuffle_hash"), ["block", "k"]).select("block", F.spark_partition_id().alias("part")), placed=True)
+    assert met.count() == 100 and met.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == before
