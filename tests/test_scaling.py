@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattix import storage, tables
 from lattix.operators import sets
-from lattix.plans import features, traversal, triangles
+from lattix.plans import features, gcn, traversal, triangles
 
 
 def lineitem(spark, path, pairs):
@@ -87,3 +87,12 @@ def test_placed_joins_are_not_shuffled_again(spark):
     met = storage.stored(left.join(right.hint("shuffle_hash"), ["block", "k"]).select("block", F.spark_partition_id().alias("part")), placed=True)
     assert met.count() == 100 and met.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == before
+
+
+def test_training_hashes_edges_once_for_all_epochs(spark):
+    edges, seen = counted(spark, [(i, (i + k) % 32) for i in range(32) for k in (2, 4)])
+    vertices = spark.range(32).select("id", F.when(F.col("id") % 2 == 0, "TOPIC").otherwise("PERSON").alias("type")).cache()
+    made = vertices.select("id", F.array(*(F.lit(k + 1).cast("bigint") for k in range(features.LENGTH))).alias("features"))
+    _, history = gcn.train(vertices, edges, made, features.split_masks(vertices), epochs=2, size=4, replicas=1)
+    assert [h["total"] for h in history] == [8, 8]
+    assert seen.value == 64
