@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lattix import storage, tables
+from lattix.graph import Graph
 from lattix.operators import sets
 from lattix.plans import features, gcn, traversal, triangles
 
@@ -96,3 +97,9 @@ def test_training_hashes_edges_once_for_all_epochs(spark):
     _, history = gcn.train(vertices, edges, made, features.split_masks(vertices), epochs=2, size=4, replicas=1)
     assert [h["total"] for h in history] == [8, 8]
     assert seen.value == 64
+
+
+def test_undeclared_ends_are_found_in_one_pass(spark):
+    edges, seen = counted(spark, [(1, 2), (1, 9), (8, 2), (9, 9), (9, 9)])
+    assert rows(Graph(spark.range(5), edges).undeclared()) == [(8, "src"), (9, "dst"), (9, "src")]
+    assert seen.value == 5
