@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lattix import storage, tables
 from lattix.graph import Graph
 from lattix.operators import sets
 from lattix.plans import features, gcn, traversal, triangles
+from lattix.schemas import CODES
 
 
 def lineitem(spark, path, pairs):
@@ -43,6 +46,43 @@ def test_copurchase_of_nulls_and_repeated_lines(spark, tmp_path):
     assert rows(g.vertices) == [(3,), (5,), (8,)]
 
 
+def test_two_hop_features_of_odd_graphs_against_brute_force(spark):
+    """Undeclared ends, vertices declared twice, types without a code, nulls, repeated edges."""
+    draw = random.Random(8)
+    types = ["PERSON", "TOPIC", "AUTHOR", "ORG_IN", "SALE", "?", None]
+    vertices = [(k % 37, draw.choice(types)) for k in range(45)]
+    edges = [(draw.randrange(-2, 42), draw.randrange(-2, 42), draw.choice(types)) for _ in range(400)] + [(None, 3, "SALE"), (3, None, "SALE")]
+    kinds = {}
+    for v, t in vertices:
+        kinds.setdefault(v, []).append(t)
+    known = [e for e in edges if e[0] in kinds and e[1] in kinds]
+    first = {v: [0] * features.LENGTH for v in kinds}
+    for s, d, t in known:
+        for x in [c for k in kinds[d] for c in (t, k)]:
+            if x in CODES:
+                first[s][CODES[x]] += 1
+    out, half = {v: list(x) for v, x in first.items()}, features.LENGTH // 2
+    for s, d, _ in known:
+        for k in range(half):
+            out[s][half + k] += first[d][k] * len(kinds[d])
+    made = features.two_hop_features(spark.createDataFrame(vertices, "id long, type string"), spark.createDataFrame(edges, "src long, dst long, type string"))
+    assert rows(made) == sorted((v, out[v]) for v, _ in vertices)
+
+
+def test_sums_by_id_hold_few_rows(monkeypatch):
+    monkeypatch.setattr(features, "ROWS", 8)
+    draw = random.Random(9)
+    given = [(draw.randrange(5), draw.randrange(-3, 9), draw.randrange(9)) for _ in range(300)]
+    batches = [pa.record_batch([pa.array([r[0] for r in given[a : a + 3]]), features._packed(np.array([r[1:] for r in given[a : a + 3]]))], names=["id", "first"]) for a in range(0, 300, 3)]
+    held, seen = [], {}
+    for b in features._summed(2)(iter(batches)):
+        held.append(b.num_rows)
+        for k, x in zip(b.column(0).to_pylist(), features._unpacked(b.column(2), 2).tolist()):
+            seen[k] = [p + q for p, q in zip(seen.get(k, [0, 0]), x)]
+    assert seen == {k: [sum(r[1] for r in given if r[0] == k), sum(r[2] for r in given if r[0] == k)] for k in range(5)}
+    assert len(held) > 20 and max(held) <= 5
+
+
 def test_placed_edges_are_worked_out_once(spark):
     edges, seen = counted(spark, [(k % 7, k) for k in range(100)])
     placed = traversal.Placed(edges)
