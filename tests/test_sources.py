@@ -39,6 +39,16 @@ def test_adjacency_in_the_order_of_the_lines(spark, tmp_path):
     assert out == {0: [3, 1], 1: [], 2: [1, 5], 3: [1, 6, 8, 3], 4: [0, 3, 4, 0], 5: [0, 3, 1, 5], 6: [], 7: [9], 8: [5, 2, 3], 9: []}
 
 
+def test_lists_are_made_of_the_wanted_vertices_only(spark, tmp_path):
+    lines = ["1 50", "2 1", "50 1", "99 2", "1\t3", " 1 ,, 2 9", "2 x", "1_0 4", "-1 2", "1 -2", "1.5 2", "2 007", "2", ",", "1 99999999999999999999"]
+    path = write(tmp_path, "few.el", lines)
+    for as_read in (False, True):
+        found = edge_lists.read_adjacency(spark, path, 3, as_read=as_read)
+        assert dict(rows(found)) == {0: [], 1: [50, 3, 2] if as_read else [2, 3, 50], 2: [1, 7]}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "< 3" in plan.split("Aggregate")[1], plan
+
+
 def test_direction_optimised_adjacency(spark, tmp_path):
     out = dict(rows(edge_lists.read_adjacency(spark, write(tmp_path, "repeats.el", REPEATS), 10, direction_optimise=True)))
     assert [out[k] for k in range(6)] == [[1, 3, 4, 5], [2, 3, 5], [5, 8], [3, 4, 5, 6, 8], [4], [5, 8]]
