@@ -2,7 +2,8 @@
 
 Corpus counts cover every training document: texts are gathered in chunks, a chunk's distinct words with their training
 counts go, packed, to buckets by word hash, buckets add them up and answer each chunk with the counts of its own words.
-So no task and not the driver ever holds the corpus's vocabulary, and frequent words are one entry per chunk.
+So no task and not the driver ever holds the corpus's vocabulary, and frequent words are one entry per chunk. A chunk keeps
+its distinct words once and its texts as their numbers, so that texts are split and looked up once, not at every use.
 
 The most frequent tokens are the model's own, as many as the root of the number of types (times ``GROWTH``) and at least
 ``VOCABULARY``; any other is one more class, out of which a token is drawn in proportion to its count plus one. A GRU is
@@ -22,9 +23,10 @@ result's.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ LEAST_STEPS = 400  # of training: a small corpus is gone through more often
 WINDOW = 32
 ROWS = 2048
 END = b" "  # no word is a blank
+TAME = 40.0  # exponentials of so much can be added up in single precision
 
 
 def held_out(doc_id: str) -> F.Column:
@@ -70,9 +73,10 @@ def own_words(types: float) -> int:
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
-    """Rows of two kinds: bucket null, a chunk's ids and texts; bucket b, the chunk's distinct words of that bucket with training counts."""
+    """Rows of two kinds: bucket null, a chunk's ids, its distinct words by bucket, its texts as numbers of these, and their lengths;
+    bucket b, the chunk's distinct words of that bucket with training counts."""
     id_type = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("out", T.ArrayType(T.BooleanType())), T.StructField("packed", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("out", T.ArrayType(T.BooleanType())), T.StructField("packed", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("numbers", T.BinaryType())])
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), held_out(doc_id).alias("out"), F.col(f"`{text}`").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,29 +85,32 @@ def chunks(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
         for batch in batches:
             for part, texts in pieces(batch, "text", CHUNK_BYTES):
                 out = part.column(1).to_pylist()
-                train, other = Counter(), set()
-                for t, o in zip(texts, out):
-                    (other if o else train).update(split(t))
-                train[END] = len(out) - sum(out)
-                other.add(END)
-                words = list(train) + [x for x in other if x not in train]
+                place: defaultdict[bytes, int] = defaultdict()
+                place.default_factory = place.__len__  # a new word gets the next number
+                end, number = place[END], place.__getitem__
+                texts = [[*map(number, split(t)), end] for t in texts]
+                lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                flat = np.fromiter(chain.from_iterable(texts), dtype=np.int32, count=int(lengths.sum()))
+                words = list(place)
                 size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
                 h = hash_slices(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(size) - size, size)
                 of = (h >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(of, kind="stable")
                 cut = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
-                count = np.array([train.get(x, 0) for x in words], dtype=np.int64)
+                count = np.bincount(flat[np.repeat(~np.array(out, dtype=bool), lengths)], minlength=len(words))
+                rank = np.empty(len(words), dtype=np.int32)
+                rank[order] = np.arange(len(words), dtype=np.int32)
                 packed = [pack(b"\n".join(words[i] for i in order[a:b].tolist())) for a, b in zip(cut[:-1], cut[1:]) if b > a]
                 counts = [pack(count[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:]) if b > a]
                 n = len(packed)
-                # texts are joined by a byte that UTF-8 never has
                 rows = [
                     pa.array([chunk] * (n + 1), pa.int64()),
                     pa.array([None, *np.flatnonzero(np.diff(cut)).tolist()], pa.int32()),
                     pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), part.column(0)), pa.nulls(n, pa.list_(part.column(0).type))]),
                     pa.array([out, *[None] * n], pa.list_(pa.bool_())),
-                    pa.array([pack(b"\xff".join(texts)), *packed], pa.binary()),
-                    pa.array([b"", *counts], pa.binary()),
+                    pa.array([pack(b"\n".join(words[i] for i in order.tolist())), *packed], pa.binary()),
+                    pa.array([pack(lengths.tobytes()), *counts], pa.binary()),
+                    pa.array([pack(_planes(rank[flat])), *[None] * n], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(rows, names=schema.names)
                 chunk += 1
@@ -111,6 +118,15 @@ def chunks(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
     return source.mapInArrow(scan, schema)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their first bytes, then their second ones and so on, which packs better."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def answers(requests: DataFrame, vocabulary: int | None, buckets: int) -> DataFrame:
     """One row per request with the corpus counts of its words, in their order; one row per bucket with its totals and most frequent words.
 
@@ -162,16 +178,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In place, of each row less its largest value; that, and the rows' sums."""
-    most = x.max(axis=1, keepdims=True)
-    x -= most
+def _exp(x: np.ndarray, tame: bool = False) -> tuple[np.ndarray | float, np.ndarray]:
+    """In place, of each row less its largest value, or of tame rows as they are; what went off, and the rows' sums."""
+    most = 0.0
+    if not tame:
+        most = x.max(axis=1, keepdims=True)
+        x -= most
+        most = most[:, 0]
     np.exp(x, out=x)
-    return most[:, 0], x.sum(axis=1)
+    return most, x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x /= _exp(x)[1][:, None]
+def _softmax(x: np.ndarray, tame: bool = False) -> np.ndarray:
+    x /= _exp(x, tame)[1][:, None]
     return x
 
 
@@ -180,10 +199,10 @@ def _sorted(x: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable")
 
 
-def _log_chosen(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+def _log_chosen(x: np.ndarray, column: np.ndarray, tame: bool = False) -> np.ndarray:
     """Log of the softmax of each row in one of its columns; x is used up."""
     own = x[np.arange(len(x)), column]
-    most, total = _exp(x)
+    most, total = _exp(x, tame)
     return own - most - np.log(total)
 
 
@@ -202,6 +221,16 @@ class Model:
     def other(self) -> int:
         return len(self.words)
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        of, other = self.words.get, self.other
+        return np.fromiter((of(x, other) for x in words), dtype=np.int64, count=len(words))
+
+    @property
+    def tame(self) -> bool:
+        """Whether no logit can be too great or small for its exponential as it is; a state is within 1."""
+        most = (np.abs(self.p[w]).sum(axis=axis).max() + np.abs(self.p[b]).max() for w, b, axis in (("Wc", "bc", 0), ("Wo", "bo", 1)))
+        return all(x < TAME for x in most)
+
     def step(self, gates: np.ndarray, h: np.ndarray) -> np.ndarray:
         k = h.shape[1]
         u = h @ self.p["U"]
@@ -209,10 +238,10 @@ class Model:
         n = np.tanh(gates[:, 2 * k :] + zr[:, k:] * u[:, 2 * k :])
         return n + zr[:, :k] * (h - n)
 
-    def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_p(self, h: np.ndarray, y: np.ndarray, tame: bool = False) -> np.ndarray:
         """Natural log of P(y | h), by row."""
         c = self.class_of[y]
-        out = np.concatenate([_log_chosen(h[r : r + ROWS] @ self.p["Wc"] + self.p["bc"], c[r : r + ROWS]) for r in range(0, len(y), ROWS)]) if len(y) else np.zeros(0)
+        out = np.concatenate([_log_chosen(h[r : r + ROWS] @ self.p["Wc"] + self.p["bc"], c[r : r + ROWS], tame) for r in range(0, len(y), ROWS)]) if len(y) else np.zeros(0)
         order = _sorted(c, len(self.members))
         cut = np.searchsorted(c[order], np.arange(len(self.members) + 1))
         by_class, place, inside = h[order], self.place[y[order]], np.zeros(len(y))
@@ -220,7 +249,7 @@ class Model:
             a, b = cut[k], cut[k + 1]
             if b > a and len(ids) > 1:
                 of = slice(ids[0], ids[-1] + 1)  # a class is a run of ids
-                inside[a:b] = _log_chosen(by_class[a:b] @ self.p["Wo"][of].T + self.p["bo"][of], place[a:b])
+                inside[a:b] = _log_chosen(by_class[a:b] @ self.p["Wo"][of].T + self.p["bo"][of], place[a:b], tame)
         out[order] += inside
         return out
 
@@ -229,7 +258,7 @@ class Model:
         total = np.zeros(len(texts))
         if not texts:
             return total
-        table = self.p["E"] @ self.p["Wx"] + self.p["b"]
+        table, tame = self.p["E"] @ self.p["Wx"] + self.p["b"], self.tame
         sizes = np.array([len(t) for t in texts])
         flat = np.concatenate(texts)
         begin = np.cumsum(sizes) - sizes
@@ -252,7 +281,7 @@ class Model:
                 before = y[-1]
                 inside = inside.ravel()
                 got = np.zeros(len(inside))
-                got[inside] = self.log_p(np.concatenate(states)[inside], y.ravel()[inside])
+                got[inside] = self.log_p(np.concatenate(states)[inside], y.ravel()[inside], tame)
                 total[lanes[:live]] += got.reshape(y.shape).sum(axis=0)
         return total
 
@@ -316,12 +345,12 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 keep.append((h, u, z, r, c))
                 h = c + z * (h - c)
                 states.append(h)
-            out, flat = np.concatenate(states), y.ravel()
+            out, flat, tame = np.concatenate(states), y.ravel(), model.tame
             cls = model.class_of[flat]
             dh_out, by_class, by_bias = np.empty_like(out), np.zeros_like(p["Wc"]), np.zeros_like(p["bc"])
             for r in range(0, len(flat), ROWS):  # blocks that stay in the processor's cache
                 some = out[r : r + ROWS]
-                d = _softmax(some @ p["Wc"] + p["bc"])
+                d = _softmax(some @ p["Wc"] + p["bc"], tame)
                 d[np.arange(len(some)), cls[r : r + ROWS]] -= 1
                 dh_out[r : r + ROWS] = d @ p["Wc"].T
                 by_class += some.T @ d
@@ -336,7 +365,7 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
                 a, b = cut[j], cut[j + 1]
                 if len(member) > 1 and b > a:
                     of, some = slice(member[0], member[-1] + 1), by_cls[a:b]  # a class is a run of ids
-                    d = _softmax(some @ p["Wo"][of].T + p["bo"][of])
+                    d = _softmax(some @ p["Wo"][of].T + p["bo"][of], tame)
                     d[np.arange(b - a), place[a:b]] -= 1
                     np.matmul(d, p["Wo"][of], out=back[a:b])
                     np.matmul(d.T, some, out=by_token[of])
@@ -367,7 +396,7 @@ def train(model: Model, texts: list[np.ndarray], epochs: int | None = None, lane
 
 
 def learned(texts: DataFrame, model: Model, learners: int, rounds: int) -> int:
-    """Trains on all training documents of the rows (packed, out); the number of tokens gone through, each counted once.
+    """Trains on all training documents of the rows (packed, counts, numbers, out); the number of tokens gone through, each counted once.
 
     A learner's weights count by its tokens, the vector of a token by how often the learner met it.
     """
@@ -379,12 +408,12 @@ def learned(texts: DataFrame, model: Model, learners: int, rounds: int) -> int:
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn: int = turn) -> Iterator[pa.RecordBatch]:
             own, unpack = shared.value, zstandard.ZstdDecompressor().decompress
             own = replace(own, p={k: v.copy() for k, v in own.p.items()})
-            of, other, ids = own.words, own.other, []
+            other, ids = own.other, []
             for batch in batches:
-                for packed, out in zip(batch.column(0), batch.column(1)):
-                    for i, (t, o) in enumerate(zip(unpack(packed.as_py()).split(b"\xff"), out.as_py())):
-                        if not o and i % rounds == turn:
-                            ids.append(np.array([of.get(x, other) for x in (*split(t), END)], dtype=np.int32))
+                for packed, counts, numbers, out in zip(*batch.columns):
+                    at, flat, end = own.numbers(unpack(packed.as_py()).split(b"\n")).astype(np.int32), _from_planes(unpack(numbers.as_py())), np.cumsum(np.frombuffer(unpack(counts.as_py()), dtype=np.int64))
+                    begin = np.r_[0, end]
+                    ids += [at[flat[begin[i] : end[i]]] for i, o in enumerate(out.as_py()) if not o and i % rounds == turn]
             n = sum(map(len, ids))
             if not n:
                 return
@@ -403,7 +432,7 @@ def learned(texts: DataFrame, model: Model, learners: int, rounds: int) -> int:
             total = sum(np.frombuffer(x, dtype=np.float64) for x in group.column("sums").to_pylist())
             return pa.table({"name": group.column("name").slice(0, 1), "at": group.column("at").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-        made = texts.select("packed", "out").coalesce(learners).mapInArrow(learn, "name string, at long, who int, sums binary")
+        made = texts.select("packed", "counts", "numbers", "out").coalesce(learners).mapInArrow(learn, "name string, at long, who int, sums binary")
         rows = sorted(made.groupBy("name", "at").applyInArrow(add, "name string, at long, sums binary").collect(), key=lambda r: r["at"])
         shared.destroy()
         sums = {k: np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) for r in rows if r["name"] == k]) for k in {r["name"] for r in rows}}
@@ -440,31 +469,18 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         model, unpack = shared.value, zstandard.ZstdDecompressor().decompress
         counts = dict(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()))
-        place: dict[bytes, int] = {}
-        found = []
-        body = None
-        for bucket, packed in zip(left.column("bucket").to_pylist(), left.column("packed").to_pylist()):
-            if bucket is None:
-                body = packed
-                continue
-            words = unpack(packed).split(b"\n")
-            place.update(zip(words, range(len(place), len(place) + len(words))))
-            found.append(np.frombuffer(unpack(counts[bucket]), dtype=np.int64))
-        count = np.concatenate(found)
+        count = np.concatenate([np.frombuffer(unpack(counts[b]), dtype=np.int64) for b in sorted(counts)])
         base = np.log10((count + 1) / (model.tokens + model.types + 1))
-        own = np.full(len(place), model.other)
-        for x, i in model.words.items():
-            if x in place:
-                own[place[x]] = i
+        own = model.numbers(unpack(left.column("packed")[0].as_py()).split(b"\n"))
         # a token outside the model's own: its share of the other tokens' mass
         inner = np.where(own == model.other, np.log((count + 1) / max(model.rest, 1.0)), 0.0)
-        row = left.column("bucket").to_pylist().index(None)
-        ids, out = left.column("ids")[row].values, left.column("out")[row].as_py()
-        texts = [np.fromiter((place[x] for x in (*split(t), END)), dtype=np.int64) for t in unpack(body).split(b"\xff")]
+        ids, out = left.column("ids")[0].values, left.column("out")[0].as_py()
+        end = np.cumsum(np.frombuffer(unpack(left.column("counts")[0].as_py()), dtype=np.int64))
+        texts = np.split(_from_planes(unpack(left.column("numbers")[0].as_py())), end[:-1])
         score = model.score([own[t] for t in texts]) + [inner[t].sum() for t in texts]
         return pa.table([
             ids, pa.array(out, pa.bool_()), pa.array([len(t) for t in texts], pa.int64()), pa.array([int((count[t] > 0).sum()) for t in texts], pa.int64()),
             pa.array([model.tokens] * len(texts), pa.int64()), pa.array([float(base[t].sum()) for t in texts]), pa.array(score / math.log(10)),
         ], names=schema.names)
 
-    return gathered.groupBy("chunk").cogroup(answered.filter("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, schema)
+    return gathered.filter("bucket is null").groupBy("chunk").cogroup(answered.filter("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, schema)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from helpers import AWKWARD, blank_words, frame, lower
 
 from lattix.llm import language_model as lm
@@ -44,6 +45,39 @@ def test_counts_against_brute_force(spark, monkeypatch):
     assert contract(lm.score_documents(frame(spark, texts).repartition(4))) == brute(list(enumerate(texts)))
 
 
+def test_texts_are_kept_as_numbers_of_a_chunks_words(spark, monkeypatch):
+    """Split and looked up once: later uses read numbers, in the order in which buckets answer."""
+    texts = [*sentences(30), "Rare RARE words", "", None, "a\tb\n\x0bc  a"]
+    made = lm.chunks(frame(spark, texts).coalesce(2), "doc_id", "text", 5).collect()
+    unpack, back = zstandard.ZstdDecompressor().decompress, []
+    for r in (r for r in made if r["bucket"] is None):
+        words = unpack(bytes(r["packed"])).split(b"\n")
+        mine = sorted((x for x in made if x["chunk"] == r["chunk"] and x["bucket"] is not None), key=lambda x: x["bucket"])
+        assert words == [w for x in mine for w in unpack(bytes(x["packed"])).split(b"\n")] and len(set(words)) == len(words)
+        lengths = np.frombuffer(unpack(bytes(r["counts"])), dtype=np.int64)
+        for i, t in zip(r["ids"], np.split(lm._from_planes(unpack(bytes(r["numbers"]))), np.cumsum(lengths)[:-1])):
+            back.append((i, [words[k] for k in t]))
+    assert sorted(back) == [(i, [*lm.split((t or "").encode()), lm.END]) for i, t in enumerate(texts)]
+
+
+def test_planes():
+    for x in ([], [0], [1, 70_000, 1 << 30, 255, 256]):
+        assert lm._from_planes(lm._planes(np.array(x, dtype=np.int32))).tolist() == x
+
+
+def test_exponentials_of_tame_rows_are_as_of_others():
+    r = np.random.default_rng(3)
+    x, column = (r.standard_normal((50, 7)) * 9).astype(np.float32), r.integers(0, 7, 50)
+    assert np.allclose(lm._softmax(x.copy()), lm._softmax(x.copy(), True), atol=1e-6)
+    assert np.allclose(lm._log_chosen(x.copy(), column), lm._log_chosen(x.copy(), column, True), atol=1e-4)
+    model = lm.new_model([(b" ", 5), (b"w", 2)], 60, 12)
+    assert model.tame
+    model.p["Wo"][1] = 50
+    assert not model.tame
+    model.p["Wo"][1] = np.nan
+    assert not model.tame
+
+
 def test_model_beats_base_on_held_out_text(spark):
     out = lm.score_documents(frame(spark, sentences(400))).filter("held_out").collect()
     assert len(out) > 30
